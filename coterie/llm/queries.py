@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from coterie.llm.byte_bpe import op6_byte_bpe
+from coterie.llm.language import op5_language
+from coterie.llm.quality import op7_quality_rules
 
 QUERIES = {
+    "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
