@@ -142,8 +142,8 @@ def fit(docs: DataFrame, texts_per_language: int = 3000, least_share: float = 0.
             for rows in sub_batches(batch, "text"):
                 hashes, owner = ngrams(rows.column(0).to_pylist())
                 lang = np.array([languages.index(x) for x in rows.column(1).to_pylist()])
-                pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-                h, which = pairs[0], lang[pairs[1].astype(np.int64)]
+                _, once = np.unique(hashes + owner.astype(np.uint64) * ODD[1], return_index=True)  # each n-gram once a text
+                h, which = hashes[once], lang[owner[once]]
                 for k in np.unique(which):
                     g, n = np.unique(h[which == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "gram", "n"])

@@ -5,11 +5,13 @@ from __future__ import annotations
 from coterie.llm.byte_bpe import op6_byte_bpe
 from coterie.llm.language import op5_language
 from coterie.llm.quality import op7_quality_rules
+from coterie.llm.simhash import op8_simhash
 
 QUERIES = {
     "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE: dict[str, str] = {}
