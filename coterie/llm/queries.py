@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from coterie.llm.byte_bpe import op6_byte_bpe
 from coterie.llm.language import op5_language
+from coterie.llm.mixing import ORACLE_OP2, op2_mixing
 from coterie.llm.quality import op7_quality_rules
 from coterie.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mixing": ORACLE_OP2,
+}
