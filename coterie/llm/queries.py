@@ -7,6 +7,7 @@ from coterie.llm.language import op5_language
 from coterie.llm.mixing import ORACLE_OP2, op2_mixing
 from coterie.llm.quality import op7_quality_rules
 from coterie.llm.simhash import op8_simhash
+from coterie.llm.topk import ORACLE_OP10, op10_topk
 
 QUERIES = {
     "op2_mixing": op2_mixing,
@@ -14,8 +15,10 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op10_topk": op10_topk,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mixing": ORACLE_OP2,
+    "op10_topk": ORACLE_OP10,
 }
