@@ -8,9 +8,11 @@ from coterie.llm.mixing import ORACLE_OP2, op2_mixing
 from coterie.llm.quality import op7_quality_rules
 from coterie.llm.simhash import op8_simhash
 from coterie.llm.topk import ORACLE_OP10, op10_topk
+from coterie.llm.urls import ORACLE_OP3, op3_url_filter
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_url_filter": op3_url_filter,
     "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_mixing": ORACLE_OP2,
+    "op3_url_filter": ORACLE_OP3,
     "op10_topk": ORACLE_OP10,
 }
