@@ -8,10 +8,12 @@ from coterie.llm.mixing import ORACLE_OP2, op2_mixing
 from coterie.llm.quality import op7_quality_rules
 from coterie.llm.simhash import op8_simhash
 from coterie.llm.substrings import ORACLE_OP4, op4_substrings
+from coterie.llm.suffix_dedup import op1_suffix_dedup
 from coterie.llm.topk import ORACLE_OP10, op10_topk
 from coterie.llm.urls import ORACLE_OP3, op3_url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_substrings": op4_substrings,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coterie.llm.common import documents
-from coterie.llm.windows import BASES, MARKS, RECORD, Chunk, Rolling, Sender, chunks, covered, flagged_windows, gathered, keyed, owners, partitions_of, repeated_anchors, word_places, word_units
+from coterie.llm.windows import BASES, MARKS, NO_ID, RECORD, Chunk, Rolling, Sender, chunks, covered, flagged_windows, gathered, keyed, owners, partitions_of, repeated_anchors, word_places, word_units
 
 WINDOW, GRAM = 35, 10
 
@@ -66,7 +66,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 kept.append(b" ".join(own_words))
             yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return marked.select("doc_id", "text", "starts", "lens").mapInArrow(cut, out).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return marked.select("doc_id", "text", "starts", "lens").mapInArrow(cut, out).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op4_substrings(spark, sf_dir: str) -> DataFrame:

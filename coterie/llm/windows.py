@@ -147,9 +147,9 @@ def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]):
             yield bytes_list(col("text")), [col(c) for c in columns]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The columns doc_id (null: NO_ID), th and text, by which documents are found again."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("th"), "text")
+def keyed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The columns doc_id (null: NO_ID), th and text, by which documents are found again, and those carried."""
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("th"), "text", *carried)
 
 
 def by_slice(slices: np.ndarray, columns: list[np.ndarray]):
