@@ -10,6 +10,7 @@ from coterie.llm.simhash import op8_simhash
 from coterie.llm.substrings import ORACLE_OP4, op4_substrings
 from coterie.llm.suffix_dedup import op1_suffix_dedup
 from coterie.llm.topk import ORACLE_OP10, op10_topk
+from coterie.llm.toxicity import op9_toxicity
 from coterie.llm.urls import ORACLE_OP3, op3_url_filter
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 
