@@ -74,7 +74,8 @@ def draw(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -
     """Drawn counts: sid, blocks, shard, n, start (number of the first slot)."""
     step = 1 << 13
     chunks = sources.where("slots > 0").select("sid", "blocks", "slots", "first", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {step}"))).alias("c"))
-    each = chunks.repartition("sid", "c").select("sid", "blocks", "all_slots", F.explode(F.sequence(F.col("first") + F.col("c") * step, F.least(F.col("first") + F.col("slots"), F.col("first") + (F.col("c") + 1) * step) - 1)).alias("x"))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = chunks.repartition(parts, "sid", "c").select("sid", "blocks", "all_slots", F.explode(F.sequence(F.col("first") + F.col("c") * step, F.least(F.col("first") + F.col("slots"), F.col("first") + (F.col("c") + 1) * step) - 1)).alias("x"))
     to = F.expr(f"at div {shard_slots}").alias("shard")
     counts = each.select("sid", "blocks", permuted(F.col("x"), F.col("all_slots"), F.lit(seed)).alias("at")).groupBy("sid", "blocks", to).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +84,8 @@ def draw(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -
 
 def slots(drawn: DataFrame, seed: int = SEED) -> DataFrame:
     """One row a slot: shard, sid, epoch, block."""
-    each = drawn.repartition("sid", "shard").select("shard", "sid", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i"))
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = drawn.repartition(parts, "sid", "shard").select("shard", "sid", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i"))
     epoch = F.expr("i div blocks")
     return each.select("shard", "sid", epoch.alias("epoch"), permuted(F.pmod("i", "blocks"), F.col("blocks"), F.lit(seed + 1) + F.col("sid") * 2 + epoch).alias("block"))
 
@@ -109,7 +111,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("row", F.row_number().over(within))
     totals = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     totals = totals.withColumn("before", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bucket_size")
-    placed = placed.join(totals, ["sid", "bucket"]).withColumn("at", F.col("before") + F.col("inside"))
+    # merge hints: what grows with the input is never broadcast, whatever its estimated size
+    placed = placed.join(totals.hint("merge"), ["sid", "bucket"]).withColumn("at", F.col("before") + F.col("inside"))
     key = ["sid", "bucket", "row"]
     rows = placed.where("size > 0").select(*key, "at", "size", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))).alias("block"))
     lo = F.greatest(F.lit(0), F.col("block") * block_words - F.col("at"))
@@ -117,12 +120,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     rows = rows.select(*key, "block", lo.alias("lo"), hi.alias("hi"))
     taken_slots = slots(draw(sources, shard_slots, seed), seed)
     if with_parts:
-        met = rows.join(taken_slots, ["sid", "block"])
+        met = rows.join(taken_slots.hint("merge"), ["sid", "block"])
         sums = met.groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi", "shard"))).alias("parts"))
     else:
         times = taken_slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-        sums = rows.join(times, ["sid", "block"]).groupBy(*key).agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken"))
-    out = placed.join(sums, key, "left").withColumn("nth", F.row_number().over(Window.partitionBy("k", "doc_id").orderBy(*key)) if with_parts else F.lit(None))
+        sums = rows.join(times.hint("merge"), ["sid", "block"]).groupBy(*key).agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken"))
+    out = placed.join(sums.hint("merge"), key, "left").withColumn("nth", F.row_number().over(Window.partitionBy("k", "doc_id").orderBy(*key)) if with_parts else F.lit(None))
     return out.select("doc_id", "k", "nth", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["parts"] if with_parts else []))
 
 
@@ -135,7 +138,7 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     parts = mix(docs, with_parts=True, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), F.col("nth").alias("_nth"), "parts")
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "source", "text"))
     keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "doc_id").orderBy(F.lit(1))))
-    met = keyed.join(parts, keyed["_k"].eqNullSafe(parts["_k"]) & keyed["doc_id"].eqNullSafe(parts["_id"]) & (keyed["_nth"] == parts["_nth"])).drop("_id", "_k", "_nth")
+    met = keyed.join(parts.hint("merge"), keyed["_k"].eqNullSafe(parts["_k"]) & keyed["doc_id"].eqNullSafe(parts["_id"]) & (keyed["_nth"] == parts["_nth"])).drop("_id", "_k", "_nth")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     met = met.withColumn("_pieces", pieces).withColumn("_epoch", F.explode(F.array_distinct(F.transform("parts", lambda p: p["epoch"]))))
     own = F.filter("parts", lambda p: p["epoch"] == F.col("_epoch"))
