@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coterie.llm.common import documents
-from coterie.llm.windows import BASES, MARKS, NO_ID, RECORD, Chunk, Rolling, Sender, chunks, covered, flagged_windows, gathered, keyed, owners, partitions_of, repeated_anchors, word_places, word_units
+from coterie.llm.windows import BASES, NO_ID, PLACES, RECORD, Chunk, Rolling, Sender, by_document, chunks, covered, flagged_windows, keyed, owners, partitions_of, repeated_anchors, word_units
 
 WINDOW, GRAM = 35, 10
 
@@ -28,11 +28,10 @@ WINDOW, GRAM = 35, 10
 def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """MARKS rows: starts of windows (in words) whose words also start elsewhere. docs: as from keyed()."""
     n = partitions_of(docs)
-    slices = 8 * n
     flagged = docs.join(repeated_anchors(docs, word_units, window, gram), ["doc_id", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(slices, True)
+        out = Sender(n, True)
         for texts, (ids, ths, places) in chunks(batches, ["doc_id", "th", "places"]):
             data, sizes = word_units(texts)
             chunk = Chunk(data, sizes, window, gram)
@@ -42,13 +41,14 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             yield from out.add(chunk.roll.ranges(lo, lo + window), second, ids.to_numpy()[owner], ths.to_numpy()[owner], (lo - chunk.begins[owner]).astype(np.int32))
         yield from out.flush()
 
-    return flagged.select("doc_id", "th", "text", "places").mapInArrow(send, RECORD).repartition(n, "slice").mapInArrow(owners, MARKS)
+    sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(send, RECORD)
+    return by_document(sent.repartitionById(n, "part").mapInArrow(owners(n), PLACES), n)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words left, joined by blanks."""
     own = keyed(docs)
-    marked = own.join(gathered(marked_windows(own, window, gram)), ["doc_id", "th"], "left")
+    marked = own.join(marked_windows(own, window, gram), ["doc_id", "th"], "left")
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

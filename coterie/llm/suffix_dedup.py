@@ -24,21 +24,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import documents
+from coterie.llm.common import WORD, documents
 from coterie.llm.prefix_free import repeats
-from coterie.llm.windows import BASES, MARKS, NO_ID, Chunk, Rolling, by_slice, byte_units, chunks, covered, flagged_windows, gathered, keyed, partitions_of, per_document, repeated_anchors
+from coterie.llm.windows import BASES, NO_ID, PLACE_NAMES, PLACES, Chunk, Rolling, by_document, by_slice, byte_units, chunks, covered, flagged_windows, keyed, packed, part_of, partitions_of, repeated_anchors
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts a task holds before it sends them, and of those an owner sorts at once.
-HELD = 24 << 20
-CONTEXTS = "slice int, a binary, b binary, doc binary, th binary, pos binary, sizes binary, text binary"
+HELD, SORTED = 16 << 20, 1 << 20
+#: Contexts on their way to the owner of their anchor; their bytes are compressed. A null anchor: settled places.
+NAMES = ["anchor", "doc", "th", "pos", "sizes", "text"]
+CONTEXTS = "part int, anchor binary, doc binary, th binary, pos binary, sizes binary, text binary"
+CODEC = "zstd"
+
+
+def settled_rows(doc, th, pos, lens, n: int, names: list[str]):
+    """Rows with runs of marked starts for the partitions that gather them; other columns are null."""
+    for s, (d, t, p, z) in by_slice(part_of(doc, n), [doc, th, pos.astype(np.int32), lens.astype(np.int32)]):
+        by_name = {"doc": d, "th": t, "pos": p, "sizes": z, "lens": z}
+        yield packed(s, names, [by_name.get(c) for c in names])
 
 
 class Contexts:
     """A task's contexts: (hash a, hash b, doc, th, place, size) and their bytes; copies but the earliest go out as marks."""
 
-    def __init__(self, n_slices: int, window: int):
-        self.n_slices, self.window, self.held, self.size = n_slices, window, [], 0
+    def __init__(self, n: int, window: int):
+        self.n, self.window, self.held, self.size = n, window, [], 0
 
     def add(self, columns: list[np.ndarray], texts: np.ndarray):
         """columns: anchor, a, b, doc, th, pos, size; texts: the bytes, one context after the other."""
@@ -55,12 +65,13 @@ class Contexts:
         self.held, self.size = [], 0
         anchor, a, b, doc, th, pos, size = columns
         keep = earliest(a, b, doc, th, pos)
-        for s, (d, t, p, z) in by_slice((doc[~keep].view(np.uint64) % np.uint64(self.n_slices)).astype(np.int64), [doc[~keep], th[~keep], pos[~keep], size[~keep]]):
-            yield _row(s, None, None, d, t, p, z - self.window + 1, None)
+        drop = ~keep
+        yield from settled_rows(doc[drop], th[drop], pos[drop], size[drop] - self.window + 1, self.n, NAMES)
         rows = np.flatnonzero(keep)
         begins = np.cumsum(size) - size
-        for s, (i,) in by_slice((anchor[rows] % np.uint64(self.n_slices)).astype(np.int64), [rows]):
-            yield _row(s, a[i], b[i], doc[i], th[i], pos[i], size[i], ranges(text, begins[i], size[i]))
+        for s, (i,) in by_slice((anchor[rows] % np.uint64(self.n)).astype(np.int64), [rows]):
+            squeezed = np.frombuffer(pa.compress(ranges(text, begins[i], size[i]).tobytes(), CODEC, asbytes=True), np.uint8)
+            yield packed(s, NAMES, (anchor[i], doc[i], th[i], pos[i], size[i].astype(np.int32), squeezed))
 
 
 def ranges(text: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -78,39 +89,41 @@ def earliest(a, b, doc, th, pos) -> np.ndarray:
     return out
 
 
-def _row(slice_id: int, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([slice_id], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in columns)], ["slice", "a", "b", "doc", "th", "pos", "sizes", "text"])
-
-
 def _settle(parts: list[dict], window: int):
-    """Marks of the contexts of one slice."""
+    """(doc, th, start, windows) of the runs to mark among all contexts of a partition."""
     get = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in parts])
-    a, b, doc, th, pos, size, text = get("a", np.uint64), get("b", np.uint64), get("doc", np.int64), get("th", np.int32), get("pos", np.int32).astype(np.int64), get("sizes", np.int64), get("text", np.uint8)
-    keep = earliest(a, b, doc, th, pos)
-    yield from per_document(doc[~keep], th[~keep], pos[~keep], size[~keep] - window + 1)
-    rows = np.flatnonzero(keep)
+    anchor, doc, th = get("anchor", np.uint64), get("doc", np.int64), get("th", np.int32)
+    pos, size = get("pos", np.int32).astype(np.int64), get("sizes", np.int32).astype(np.int64)
+    text = np.frombuffer(b"".join(pa.decompress(p["text"], int(np.frombuffer(p["sizes"], np.int32).sum(dtype=np.int64)), CODEC, asbytes=True) for p in parts), np.uint8)
+    parts.clear()
     begins = np.cumsum(size) - size
-    own = ranges(text, begins[rows], size[rows])
-    del text
-    one, two = Rolling(own), Rolling(own, BASES[1])
-    s, inside = repeats(own, size[rows], window, (doc[rows], th[rows], pos[rows]), lambda lo, hi: (one.ranges(lo, hi), two.ranges(lo, hi)))
-    # neighbouring windows of a context go as one run
-    order = np.lexsort((inside, s))
-    s, inside = s[order], inside[order]
-    new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (inside[1:] != inside[:-1] + 1)])) if len(s) else np.zeros(0, np.int64)
-    lens = np.diff(np.concatenate([new, [len(s)]]))
-    i = rows[s[new]]
-    yield from per_document(doc[i], th[i], pos[i] + inside[new], lens)
+    # equal contexts and equal windows have equal anchors, so lots by anchor can be settled one by one
+    lots = max(1, -(-len(text) // SORTED))
+    for _, (i,) in by_slice(((anchor >> np.uint64(32)) % np.uint64(lots)).astype(np.int64), [np.arange(len(anchor))]):
+        own, z = ranges(text, begins[i], size[i]), size[i]
+        at = np.cumsum(z) - z
+        one, two = Rolling(own), Rolling(own, BASES[1])
+        keep = earliest(one.ranges(at, at + z), two.ranges(at, at + z), doc[i], th[i], pos[i])
+        if not keep.all():
+            copies = i[~keep]
+            yield doc[copies], th[copies], pos[copies], size[copies] - window + 1
+            own, i = ranges(own, at[keep], z[keep]), i[keep]
+            one, two = Rolling(own), Rolling(own, BASES[1])
+        s, inside = repeats(own, size[i], window, (doc[i], th[i], pos[i]), lambda lo, hi: (one.ranges(lo, hi), two.ranges(lo, hi)))  # noqa: B023
+        order = np.lexsort((inside, s))  # neighbouring windows of a context go as one run
+        s, inside = s[order], inside[order]
+        new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (inside[1:] != inside[:-1] + 1)])) if len(s) else np.zeros(0, np.int64)
+        row = i[s[new]]
+        yield doc[row], th[row], pos[row] + inside[new], np.diff(np.concatenate([new, [len(s)]]))
 
 
 def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """MARKS rows: runs of starts (in bytes) whose window also starts earlier. docs: as from keyed()."""
     n = partitions_of(docs)
-    slices = 16 * n
     flagged = docs.join(repeated_anchors(docs, byte_units, window, gram), ["doc_id", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Contexts(slices, window)
+        out, settled = Contexts(n, window), []
         for texts, (ids, ths, places) in chunks(batches, ["doc_id", "th", "places"]):
             data, sizes = byte_units(texts)
             chunk = Chunk(data, sizes, window, gram)
@@ -127,36 +140,33 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             size = hi - lo
             drop = ~keep
             if drop.any():  # copies within the chunk: only their places go on
-                for s, (d, t, p, z) in by_slice((doc[drop].view(np.uint64) % np.uint64(slices)).astype(np.int64), [doc[drop], th[drop], pos[drop], size[drop]]):
-                    yield _row(s, None, None, d, t, p, z - window + 1, None)
+                settled.append((doc[drop], th[drop], pos[drop], size[drop] - window + 1))
             yield from out.add([x[keep] for x in (chunk.hashes[anchor[new]], a, b, doc, th, pos, size)], ranges(data, lo[keep], size[keep]))
         yield from out.flush()
+        if settled:
+            yield from settled_rows(*(np.concatenate(x) for x in zip(*settled)), n, NAMES)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        last = None
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                if row["a"] is None:
-                    yield from per_document(*(np.frombuffer(row[c], k) for c, k in (("doc", np.int64), ("th", np.int32), ("pos", np.int32), ("sizes", np.int64))))
-                    continue
-                if held and row["slice"] != last:
-                    yield from _settle(held, window)
-                    held = []
-                last = row["slice"]
-                held.append(row)
+                if row["anchor"] is None:  # settled before: on to where the document's marks meet
+                    yield packed(row["part"], PLACE_NAMES, [np.frombuffer(row[c], np.uint8) for c in ("doc", "th", "pos", "sizes")])
+                else:
+                    held.append(row)
         if held:
-            yield from _settle(held, window)
+            found = list(_settle(held, window))
+            yield from settled_rows(*(np.concatenate(x) for x in zip(*found)), n, PLACE_NAMES)
 
     sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(send, CONTEXTS)
-    return sent.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(own, MARKS)
+    return by_document(sent.repartitionById(n, "part").mapInArrow(own, PLACES), n)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, the carried columns, n_bytes, n_removed, n_spans, kept): kept has the bytes left (binary)."""
     own = keyed(docs, carried)
-    marks = gathered(marked_windows(own.select("doc_id", "th", "text"), window, gram))
+    marks = marked_windows(own.select("doc_id", "th", "text"), window, gram)
     marked = own.join(marks, ["doc_id", "th"], "left")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.BinaryType())])
@@ -180,5 +190,28 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carrie
     return marked.select(*cols).mapInArrow(cut, out).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with what is left of each text, read as UTF-8 (a character cut in two goes); texts left without a word go, with their rows.
+
+    Columns are those of docs; n_chars, if there, is the new text's length.
+    """
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    renamed = {c: f"_c{i}" for i, c in enumerate(carried)}  # whatever their names are, they don't meet the result's
+    cut = suffix_dedup(docs.withColumnsRenamed(renamed), window, gram, tuple(renamed.values()))
+    left = cut.withColumn("text", F.col("kept"))
+    i = left.columns.index("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(i).to_pylist()]
+            yield batch.set_column(i, "text", pa.array(texts, pa.string()))
+
+    out = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in left.schema])
+    back = left.mapInArrow(read, out).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).withColumnsRenamed({v: k for k, v in renamed.items()})
+    if "n_chars" in docs.columns:
+        back = back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return back.select(*docs.columns)
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

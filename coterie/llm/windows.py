@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from coterie.llm.common import bytes_list, sub_batches
 
-CHUNK, FLUSH = 1 << 20, 4_000_000
+CHUNK, FLUSH = 1 << 19, 3_000_000
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
 NO_ID = -(1 << 63)
-ORIGIN = "doc_id long, th int"
-RECORD = "slice int, key binary, key2 binary, doc binary, th binary, pos binary"
+#: What tasks send to the partition `part`: keys with their places, or places known to repeat (key null).
+RECORD = "part int, key binary, key2 binary, doc binary, th binary, pos binary, lens binary"
+#: Places on their way to the partition that has all of a document's, and those of one document.
+PLACES = "part int, doc binary, th binary, pos binary, lens binary"
 MARKS = "doc_id long, th int, starts binary, lens binary"
 
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
@@ -42,7 +44,7 @@ _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     got = _POWERS.get((base, inverse))
     if got is None or len(got) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         step = pow(base, -1, 1 << 64) if inverse else base
         got = np.ones(size, np.uint64)
         got[1:] = np.uint64(step)
@@ -161,9 +163,16 @@ def by_slice(slices: np.ndarray, columns: list[np.ndarray]):
         yield int(slices[at[0]]), [c[at] for c in columns]
 
 
-def _row(slice_id: int, key, key2, doc, th, pos) -> pa.RecordBatch:
-    data = [pa.array([x.tobytes() if x is not None else None], pa.binary()) for x in (key, key2, doc, th, pos)]
-    return pa.RecordBatch.from_arrays([pa.array([slice_id], pa.int32()), *data], ["slice", "key", "key2", "doc", "th", "pos"])
+def part_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """The partition, of n, that gathers a document's places."""
+    return (finished(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def packed(part: int, names: list[str], columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x if x is None else x.tobytes()], pa.binary()) for x in columns)], ["part", *names])
+
+
+RECORD_NAMES, PLACE_NAMES = ["key", "key2", "doc", "th", "pos", "lens"], ["doc", "th", "pos", "lens"]
 
 
 def first_of_keys(key: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +193,8 @@ class Sender:
     one of them with it, so that no owner gets more than one row of a key and task.
     """
 
-    def __init__(self, n_slices: int, second: bool):
-        self.n_slices, self.second, self.held, self.size = n_slices, second, [], 0
+    def __init__(self, n: int, second: bool):
+        self.n, self.second, self.held, self.size = n, second, [], 0
 
     def add(self, key, key2, doc, th, pos):
         self.held.append((key, key2, doc, th, pos))
@@ -200,13 +209,10 @@ class Sender:
         self.held, self.size = [], 0
         first, many = first_of_keys(key, key2)
         first.sort()
-        for s, (k, k2, d, t, p) in by_slice((key[first] % np.uint64(self.n_slices)).astype(np.int64), [key[first], key2[first], doc[first], th[first], pos[first]]):
-            yield _row(s, k, k2 if self.second else None, d, t, p)
-        rest = many.copy()
-        rest[first] = False
-        settled = rest | many  # the one that travels is known to repeat, too
-        for s, (d, t, p) in by_slice((doc[settled].view(np.uint64) % np.uint64(self.n_slices)).astype(np.int64), [doc[settled], th[settled], pos[settled]]):
-            yield _row(s, None, None, d, t, p)
+        for s, (k, k2, d, t, p) in by_slice((key[first] % np.uint64(self.n)).astype(np.int64), [key[first], key2[first], doc[first], th[first], pos[first]]):
+            yield packed(s, RECORD_NAMES, (k, k2 if self.second else None, d, t, p, None))
+        for s, (d, t, p) in by_slice(part_of(doc[many], self.n), [doc[many], th[many], pos[many]]):
+            yield packed(s, RECORD_NAMES, (None, None, d, t, p, None))
 
 
 class Sketch:
@@ -220,6 +226,7 @@ class Sketch:
         return ((keys >> np.uint64(7 + 23 * row)) & self.mask).astype(np.int64)
 
     def add(self, keys: np.ndarray) -> None:
+        """Adds the sketch of some keys; its cost has a part in the width, so keys come in large lots."""
         for row, cells in enumerate(self.cells):
             seen = np.bincount(self.places(keys, row), minlength=len(cells))
             np.minimum(cells + seen, 255, out=seen)
@@ -241,31 +248,59 @@ def per_document(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, lens: np.ndar
     yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(th[new]), *(pa.array([x[i:j].tobytes() for i, j in zip(new.tolist(), ends)], pa.binary()) for x in (pos, lens))], ["doc_id", "th", "starts", "lens"])
 
 
-def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of places whose key is there twice or more, among all that this partition owns."""
-    sent, settled = [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            doc, th, pos = np.frombuffer(row["doc"], np.int64), np.frombuffer(row["th"], np.int32), np.frombuffer(row["pos"], np.int32)
-            if row["key"] is None:
-                settled.append((doc, th, pos))
-            else:
+def owners(n: int):
+    """For mapInArrow: PLACES of the keys that are there twice or more, among all that a partition owns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["key"] is None:
+                    yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("part", *PLACE_NAMES)}], schema=PLACES_ARROW)
+                    continue
                 key = np.frombuffer(row["key"], np.uint64)
-                sent.append((key, np.frombuffer(row["key2"], np.uint32) if row["key2"] is not None else np.zeros(len(key), np.uint32), doc, th, pos))
-        if sum(len(x[0]) for x in settled) >= FLUSH:
-            yield from per_document(*(np.concatenate(x) for x in zip(*settled)))
-            settled = []
-    if settled:
-        yield from per_document(*(np.concatenate(x) for x in zip(*settled)))
-    if sent:
+                key2 = np.frombuffer(row["key2"], np.uint32) if row["key2"] is not None else np.zeros(len(key), np.uint32)
+                sent.append((key, key2, np.frombuffer(row["doc"], np.int64), np.frombuffer(row["th"], np.int32), np.frombuffer(row["pos"], np.int32)))
+        if not sent:
+            return
         total = sum(len(x[0]) for x in sent)
-        merged = Sketch(1 << max(12, int(2 * total).bit_length()))
-        for part in sent:
-            merged.add(part[0])
-        kept = [[c[likely] for c in part] for part in sent for likely in [merged.estimate(part[0]) >= 2]]
+        merged, lot = Sketch(1 << max(12, int(2 * total).bit_length())), []
+        for i, part in enumerate(sent):
+            lot.append(part[0])
+            if sum(map(len, lot)) >= len(merged.cells[0]) // 4 or i == len(sent) - 1:
+                merged.add(np.concatenate(lot))
+                lot = []
+        kept = []
+        while sent:
+            part = sent.pop()
+            likely = merged.estimate(part[0]) >= 2
+            kept.append([c[likely] for c in part])
         key, key2, doc, th, pos = (np.concatenate(x) for x in zip(*kept))
         _, many = first_of_keys(key, key2)
-        yield from per_document(doc[many], th[many], pos[many])
+        for s, columns in by_slice(part_of(doc[many], n), [doc[many], th[many], pos[many]]):
+            yield packed(s, PLACE_NAMES, (*columns, None))
+
+    return run
+
+
+PLACES_ARROW = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in PLACE_NAMES)])
+
+
+def merged_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document whose places this partition has."""
+    got = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            doc = np.frombuffer(row["doc"], np.int64)
+            lens = np.frombuffer(row["lens"], np.int32) if row["lens"] is not None else np.ones(len(doc), np.int32)
+            got.append((doc, np.frombuffer(row["th"], np.int32), np.frombuffer(row["pos"], np.int32), lens))
+    if got:
+        yield from per_document(*(np.concatenate(x) for x in zip(*got)))
+
+
+def by_document(places: DataFrame, n: int) -> DataFrame:
+    """MARKS from PLACES: all places of a document in one row."""
+    return places.repartitionById(n, "part").mapInArrow(merged_places, MARKS)
 
 
 def partitions_of(df: DataFrame) -> int:
@@ -273,41 +308,34 @@ def partitions_of(df: DataFrame) -> int:
 
 
 def repeated_anchors(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """(doc_id, th, places): for each document with one, binaries of int32 places of repeated anchors."""
+    """(doc_id, th, places): int32 places of repeated anchors, for each document with one."""
     n = partitions_of(docs)
-    slices = 8 * n
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(slices, False)
+        out = Sender(n, False)
         for texts, (ids, ths) in chunks(batches, ["doc_id", "th"]):
             data, sizes = units(texts)
             key, owner, pos = Chunk(data, sizes, window, gram).anchors()
             yield from out.add(key, np.zeros(len(key), np.uint32), ids.to_numpy()[owner], ths.to_numpy()[owner], pos.astype(np.int32))
         yield from out.flush()
 
-    found = docs.mapInArrow(send, RECORD).repartition(n, "slice").mapInArrow(owners, MARKS)
-    return found.groupBy("doc_id", "th").agg(F.collect_list("starts").alias("places"))
-
-
-def gathered(marks: DataFrame) -> DataFrame:
-    """All marks of a document in one row: lists of binaries."""
-    return marks.groupBy("doc_id", "th").agg(F.collect_list("starts").alias("starts"), F.collect_list("lens").alias("lens"))
+    found = docs.mapInArrow(send, RECORD).repartitionById(n, "part").mapInArrow(owners(n), PLACES)
+    return by_document(found, n).select("doc_id", "th", F.col("starts").alias("places"))
 
 
 def flagged_windows(chunk: Chunk, places) -> np.ndarray:
     """Rows of chunk.starts whose anchor is among the documents' repeated ones."""
     flag = np.zeros(chunk.n + 1, bool)
     for begin, own in zip(chunk.begins.tolist(), places):
-        for x in own or []:
-            flag[begin + np.frombuffer(x, np.int32)] = True
+        if own:
+            flag[begin + np.frombuffer(own, np.int32)] = True
     return np.flatnonzero(flag[chunk.anchor])
 
 
-def covered(size: int, starts, lens, window: int) -> np.ndarray:
-    """Which units of a document the marked windows cover."""
+def covered(size: int, starts: bytes, lens: bytes, window: int) -> np.ndarray:
+    """Which units of a document the runs of marked windows cover."""
     step = np.zeros(size + 1, np.int32)
-    for s, n in zip(starts or [], lens or []):
-        lo = np.frombuffer(s, np.int32).astype(np.int64)
-        np.add.at(step, lo, 1)
-        np.add.at(step, lo + np.frombuffer(n, np.int32) - 1 + window, -1)
+    lo = np.frombuffer(starts, np.int32).astype(np.int64)
+    np.add.at(step, lo, 1)
+    np.add.at(step, lo + np.frombuffer(lens, np.int32) - 1 + window, -1)
     return np.cumsum(step[:-1]) > 0
