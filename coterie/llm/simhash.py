@@ -1,17 +1,26 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-A fingerprint has a bit set where more than half of the text's shingle hashes
-have it. Fingerprints that differ in at most `radius` bits link, and the linked
-groups' components are the classes.
-
-Candidates come from the pigeonhole: the 64 bits are cut into `radius + r` blocks
-and each choice of r blocks is a table; two fingerprints within the radius agree
-on r blocks, so they meet in a bucket of some table. r grows with the number of
-fingerprints, so that buckets stay small. Inside a bucket, fingerprints are
-stored as bit planes, 64 of them in a machine word; a chunk of queries is
-compared with a whole block at once by adding the differing planes into
-carry-save counters of two bits and an overflow bit, and a query leaves the block
-once all lanes have overflowed. Every pair of a bucket is compared, whatever its
+A fingerprint has a bit set where more than half of the text's shingle hashes have
+it. Two fingerprints link if they differ in at most `radius` bits; the classes are
+the components of the links.
+
+Candidates meet in the buckets of tables, each keyed by some of the bits:
+
+* With a radius of a few bits, by the pigeonhole: the bits are cut into radius + r
+  blocks and each choice of r blocks is a table. Fingerprints within the radius
+  agree on some r blocks, so every link is found. r grows with the number of
+  fingerprints, so that buckets stay small.
+* With a similarity (share of common distinct shingles), fingerprints have 256 bits, the
+  radius follows from the angle that belongs to the similarity, and tables draw
+  their bits at random: as many tables as find a pair of just that similarity with
+  probability `recall`; nearer pairs are found more surely, and a class needs only
+  some of its pairs.
+
+Inside a bucket, fingerprints are stored as bit planes, 64 of them in a machine
+word. A chunk of queries is compared with a whole block at once: planes of
+differing bits go eight at a time through carry-save adders into vertical counters,
+and a query leaves the block once all its lanes are known to exceed the radius.
+What is left is counted exactly. Every pair of a bucket is compared, whatever its
 size: a bucket above `bucket_rows` is cut into parts, and each pair of parts is a
 group of its own in another task.
 
@@ -25,13 +34,14 @@ all; repeated rows stay; where every doc_id of a component is null its id is nul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,73 +64,128 @@ def shingle_hashes(words: list[bytes], width: int) -> list[int]:
     return [hashed(line[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist())]
 
 
-def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
-    """One uint64 for each text."""
+def spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Each hash followed by words - 1 others derived from it: (n, words)."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    for k in range(1, words):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def fingerprints_of(texts: list[bytes], width: int, words: int = 1, once: bool = False) -> np.ndarray:
+    """(texts, words) of uint64; once: a shingle found again in its text doesn't count again."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         found = shingle_hashes(text.lower().split(), width)  # bytes.lower() changes A-Z only
+        found = list(set(found)) if once else found
         hashes += found
         counts[i] = len(found)
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        sums = np.add.reduceat(bits, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int64)
-        over = 2 * sums > counts[some, None]
-        out[some] = (over.astype(np.uint64) << BITS).sum(axis=1, dtype=np.uint64)
+    hashed, ends = np.array(hashes, np.uint64), np.cumsum(counts)
+    out = np.zeros((len(texts), words), np.uint64)
+    at = 0
+    while at < len(texts):  # so many texts at once as have 100,000 shingles
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
+        lo, hi = (int(ends[at - 1]) if at else 0), int(ends[to - 1])
+        some = at + np.flatnonzero(counts[at:to])
+        if len(some):
+            sums = 0
+            begins = (ends - counts)[some]
+            if hi - lo <= 1 << 22:
+                bits = np.unpackbits(spread(hashed[lo:hi], words).view(np.uint8).reshape(hi - lo, -1), axis=1, bitorder="little")
+                sums = np.add.reduceat(bits, begins - lo, axis=0, dtype=np.int64)
+            else:  # one very long text, in parts
+                for i in range(lo, hi, 1 << 18):
+                    part = spread(hashed[i : min(hi, i + (1 << 18))], words)
+                    sums = sums + np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[None]
+            over = (2 * sums > counts[some, None]).reshape(len(some), words, 64)
+            out[some] = (over.astype(np.uint64) << BITS).sum(axis=2, dtype=np.uint64)
+        at = to
     return out
 
 
-def fingerprints(df: DataFrame, width: int = 5, text: str = "text", name: str = "fp") -> DataFrame:
-    """Adds the column `name` (long, the 64 bits as a signed number)."""
+def to_binary(fps: np.ndarray) -> pa.Array:
+    """Fingerprints as big-endian bytes."""
+    n, words = fps.shape
+    data = fps.astype(">u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 8 * words, 8 * words, dtype=np.int32)), pa.py_buffer(data)]) if n else pa.array([], pa.binary())
+
+
+def from_binary(column, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def fingerprints(df: DataFrame, width: int = 5, words: int = 1, once: bool = False, text: str = "text", name: str = "fp") -> DataFrame:
+    """Adds the column `name` (binary, 8 bytes a word)."""
     kept = [c for c in df.columns if c != name]
-    out = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.LongType(), False)])
+    out = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sub_batches(batch, text, 2 << 20):
-                found = fingerprints_of(bytes_list(part.column(part.schema.get_field_index(text))), width)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(found.view(np.int64))], [*kept, name])
+                found = fingerprints_of(bytes_list(part.column(part.schema.get_field_index(text))), width, words, once)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), to_binary(found)], [*kept, name])
 
     return df.select(*kept).mapInArrow(run, out)
 
 
-def planes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit planes of a block, 64 x words, and the lanes of the last word that hold nothing."""
-    n = len(block)
+def bits_of(fps: np.ndarray) -> np.ndarray:
+    """(n, 64 * words) of 0 and 1; bit b of word k is column 64k + b."""
+    return np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+
+
+def planes(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes of a block, bits x words of 64 lanes, and the lanes of the last word that hold nothing."""
+    n = len(bits)
     room = -(-n // 64) * 64
-    bits = np.zeros((64, room), np.uint8)
-    bits[:, :n] = ((block[None, :] >> BITS[:, None]) & np.uint64(1)).astype(np.uint8)
+    wide = np.zeros((bits.shape[1], room), np.uint8)
+    wide[:, :n] = bits.T
     empty = np.zeros(room, np.uint8)
     empty[n:] = 1
     pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view(np.uint64)
-    return pack(bits), pack(empty)
+    return pack(wide), pack(empty)
 
 
-def near(queries: np.ndarray, stored: tuple[np.ndarray, np.ndarray], radius: int, order: np.ndarray, stride: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, lane) that differ in at most radius (1 to 3) bits."""
+def near(queries: np.ndarray, stored: tuple[np.ndarray, np.ndarray], radius: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, lane) that may differ in at most radius bits; queries: their bits, a multiple of 8."""
     flat, empty = stored
     live = np.arange(len(queries))
-    ask = np.where((queries[:, None] >> BITS) & np.uint64(1), FULL, np.uint64(0))
-    one = np.zeros((len(queries), flat.shape[1]), np.uint64)
-    two, over = one.copy(), np.repeat(empty[None, :], len(queries), axis=0)
-    for at in range(0, 64, stride):
-        for b in order[at : at + stride]:
-            carry = flat[b][None, :] ^ ask[:, b, None]
-            spill = one & carry
-            one ^= carry
-            over |= two & spill
-            two ^= spill
-        far = over.copy()
-        if radius < 3:
-            far |= two & one if radius == 2 else two
-        going = ~(far == FULL).all(axis=1)
+    ask = np.where(queries.astype(bool), FULL, np.uint64(0))
+    shape = (len(queries), flat.shape[1])
+    low = [np.zeros(shape, np.uint64) for _ in range(3)]  # ones, twos, fours
+    most = radius // 8
+    start = (1 << most.bit_length()) - 1 - most  # eights begin there, so that they overflow beyond `most`
+    high = [np.full(shape, FULL if start >> k & 1 else 0, np.uint64) for k in range(most.bit_length())]
+    over = np.repeat(empty[None, :], len(queries), axis=0)
+
+    def add(a, b, c):
+        u = a ^ b
+        return u ^ c, (a & b) | (u & c)
+
+    for at in range(0, len(order), 8):
+        d = [flat[b][None, :] ^ ask[:, b, None] for b in order[at : at + 8]]
+        ones, twos, fours = low
+        ones, ta = add(ones, d[0], d[1])
+        ones, tb = add(ones, d[2], d[3])
+        twos, fa = add(twos, ta, tb)
+        ones, ta = add(ones, d[4], d[5])
+        ones, tb = add(ones, d[6], d[7])
+        twos, fb = add(twos, ta, tb)
+        fours, carry = add(fours, fa, fb)
+        low = [ones, twos, fours]
+        for k, h in enumerate(high):
+            high[k], carry = h ^ carry, h & carry
+        over |= carry
+        going = ~(over == FULL).all(axis=1)
         if not going.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not going.all():
-            live, ask, one, two, over, far = live[going], ask[going], one[going], two[going], over[going], far[going]
-    bits = np.unpackbits((~far).view(np.uint8), axis=1, bitorder="little")
-    q, lane = np.nonzero(bits)
+        if going.mean() < 0.8:
+            live, ask, over = live[going], ask[going], over[going]
+            low, high = [x[going] for x in low], [x[going] for x in high]
+    q, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
     return live[q], lane
 
 
@@ -158,30 +223,67 @@ class Forest:
 
 
 def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int = 1024, chunk: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links among distinct fingerprints, comparing all pairs."""
+    """A spanning set of the links among distinct fingerprints (rows of members), as row numbers; compares all pairs."""
     forest, left, right = Forest(len(members)), [], []
     for lo in range(0, len(members), block):
-        stored = planes(members[lo : lo + block])
+        stored = planes(bits_of(members[lo : lo + block]))
         for q in range(0, min(len(members), lo + block), chunk):
-            i, lane = near(members[q : q + chunk], stored, radius, order)
+            i, lane = near(bits_of(members[q : q + chunk]), stored, radius, order)
             i, j = i + q, lane + lo
             keep = i < j
+            i, j = i[keep], j[keep]
+            keep = np.bitwise_count(members[i] ^ members[j]).sum(axis=1) <= radius
             a, b = forest.add(i[keep], j[keep])
             left += a
             right += b
-    return members[left], members[right]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def linked(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """Links (a, b) that span every class of the distinct values of the column fp (long)."""
-    n = fps.count()
+def pigeonhole_tables(n: int, radius: int) -> list[np.ndarray]:
+    """Bits of each table: fingerprints of 64 bits within the radius agree on all bits of one."""
     r = 1
     while r < 5 and n > 64 << (64 * r // (radius + r)):
         r += 1
     cuts = np.linspace(0, 64, radius + r + 1).astype(int)
-    masks = [sum(((1 << int(cuts[i + 1])) - (1 << int(cuts[i]))) for i in chosen) for chosen in combinations(range(radius + r), r)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
+    return [np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in chosen]) for chosen in combinations(range(radius + r), r)]
+
+
+def differing(similarity: float) -> float:
+    """The expected share of differing bits at a Jaccard similarity of shingle sets of one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def random_tables(n: int, similarity: float, words: int, recall: float, seed: int = 11) -> list[np.ndarray]:
+    """Bits of each table: enough tables to find a pair of the similarity with the given probability."""
+    k = int(np.clip(math.ceil(math.log2(max(n, 1) / 64 + 1)), 10, 48))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** k))
+    rng, out, order = np.random.default_rng(seed), [], []
+    while len(out) < count:
+        if len(order) < k:
+            order = rng.permutation(64 * words).tolist()
+        out.append(np.sort([order.pop() for _ in range(k)]))
+    return out
+
+
+def keys_of(bits: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(bits), np.int64)
+    for b in table:
+        out = (out << 1) | bits[:, b]
+    return out
+
+
+def linked(fps: DataFrame, tables: list[np.ndarray], words: int, radius: int, rows: int, bucket_rows: int = 4096) -> DataFrame:
+    """Links (a, b) that span every class among the distinct values of the column fp (binary)."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                column = batch.slice(at, 4096).column(0)
+                bits = bits_of(from_binary(column, words))
+                for t, table in enumerate(tables):
+                    yield pa.RecordBatch.from_arrays([column, pa.array(np.full(len(bits), t, np.int32)), pa.array(keys_of(bits, table))], ["fp", "t", "key"])
+
+    keyed = fps.select("fp").mapInArrow(key, "fp binary, t int, key long")
     large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     parts = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
@@ -189,28 +291,29 @@ def linked(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     # a member of part x meets each part y in the group {x, y}
     cut = cut.select("fp", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     groups = cut.select("fp", "t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    parts_n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 100_000)
-    dealt = groups.repartition(parts_n, "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y", "fp")
+    parts_n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * len(tables) // 400_000)
+    dealt = groups.repartition(parts_n, "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(members: np.ndarray, t: int):
-            free = np.array([b for b in range(64) if not masks[t] >> b & 1] + [b for b in range(64) if masks[t] >> b & 1])
-            a, b = links_within(members, radius, free)
+        def emit(members: list[np.ndarray], t: int):
+            own = np.unique(np.concatenate(members), axis=0) if len(members) > 1 else members[0]
+            outside = np.setdiff1d(np.arange(64 * words), tables[t])
+            a, b = links_within(own, radius, np.concatenate([outside, tables[t]]))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([to_binary(own[a]), to_binary(own[b])], ["a", "b"])
 
         def pack(t: int, runs: list[np.ndarray]):
-            """Buckets that follow each other share blocks; what links across them is a link too."""
+            """Buckets that follow each other share blocks; what links across them is a link, too."""
             room: list[np.ndarray] = []
             have = 0
             for x in runs:
                 if have and have + len(x) > 512:
-                    yield from emit(np.unique(np.concatenate(room)), t)
+                    yield from emit(room, t)
                     room, have = [], 0
                 room.append(x)
                 have += len(x)
             if have:
-                yield from emit(np.unique(np.concatenate(room)), t)
+                yield from emit(room, t)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -225,7 +328,7 @@ def linked(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     def cut_runs(held, pack, last):
         data = pa.Table.from_batches(held).combine_chunks()
         ids = [data.column(c).to_numpy() for c in ("t", "key", "x", "y")]
-        fp = data.column("fp").to_numpy().view(np.uint64)
+        fp = from_binary(data.column("fp"), words)
         change = np.zeros(len(fp), bool)
         for c in ids:
             change[1:] |= c[1:] != c[:-1]
@@ -242,26 +345,44 @@ def linked(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
             yield from pack(int(t), [fp[i:j] for i, j in zip(starts[table_of == t], ends[table_of == t])])
         return data.slice(rest).to_batches() if rest < len(fp) else []
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float | None = None, recall: float = 0.98) -> DataFrame:
+    """(doc_id, th, fp, root, component_id) for each row.
 
+    th is a hash of the text, root the class's smallest fingerprint, component_id its
+    smallest doc_id.
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, fp and component_id (the smallest doc_id of the class) for each row."""
+    With `similarity`, fingerprints have 256 bits, count a text's shingles once, and `radius` is not used: the radius
+    is the expected distance at that similarity and two standard deviations more.
+    """
     spark = docs.sparkSession
     shared_folder(spark)
-    marked = fingerprints(docs.select(*carried, "text"), width).drop("text").checkpoint()  # some 16 bytes a row
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.checkpoint()
-    found = components(linked(nodes.select("fp"), radius))
+    words = 1
+    if similarity is not None:
+        words, p = 4, differing(similarity)
+        radius = round(64 * words * p + 2 * math.sqrt(64 * words * p * (1 - p)))
+    marked = fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), width, words, similarity is not None).drop("text").checkpoint()  # some 30 to 60 bytes a row
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    n = nodes.count()
+    tables = pigeonhole_tables(n, radius) if similarity is None else random_tables(n, similarity, words, recall)
+    found = components(linked(nodes, tables, words, radius, n))
     roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(*carried, "fp", "component_id")
+    by_fp = roots.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def hex16(fp: str | Column) -> Column:
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One row of docs for each class: of its smallest doc_id (a null comes last), then of the smallest hash of the text."""
+    classes = near_duplicates(docs, width=width, similarity=similarity).select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th").alias("rank"))
+    best = classes.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.none").alias("_none"), F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
+    keyed = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_th", F.xxhash64("text"))
+    met = keyed.join(best, ["_none", "_id", "_th"], "left_semi")
+    again = Window.partitionBy("_none", "_id", "_th").orderBy("_th")  # equal rows are copies of each other
+    return met.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=3).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+    return near_duplicates(documents(spark, sf_dir), width=3).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
