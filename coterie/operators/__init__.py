@@ -1 +1 @@
-
+"""Operators over baskets, itemsets and spatial objects."""

@@ -1 +1 @@
-
+"""Sources of baskets and of spatial objects."""
