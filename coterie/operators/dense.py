@@ -9,7 +9,8 @@ It is spread by first items: the task of an item has all baskets with it, once e
 with their number, so all its supports are exact and nothing has to be compared
 across tasks. Tasks of up to `task_rows` distinct baskets are searched in one place;
 larger ones take one step of the search as aggregations and split by the next item,
-as often as needed, so that an item of most baskets doesn't meet in one task.
+as often as needed, so that an item of most baskets doesn't meet in one task. Each
+step is written to the checkpoint folder, which also keeps the plans short.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.itemsets import SEPARATOR
+from coterie.functions.session import shared_folder
 from coterie.operators.counting import checked, item_rank
 
 FOUND = "items array<int>, support bigint, maximal boolean"
@@ -56,6 +58,7 @@ def closed_sets(bk: DataFrame, count: int, task_rows: int = 20_000) -> DataFrame
     """(items, itemset, len, support, maximal) of all closed sets in `count` baskets or more."""
     checked(count)
     spark = bk.sparkSession
+    shared_folder(spark)
     # position 0 is the rarest frequent item: its task is the smallest
     ranks = item_rank(bk, count)
     order = ranks.agg(F.max("rank").alias("m")).first()["m"]
@@ -64,7 +67,7 @@ def closed_sets(bk: DataFrame, count: int, task_rows: int = 20_000) -> DataFrame
     places = ranks.select("item", (F.lit(order) - F.col("rank")).cast("int").alias("p"))
     coded = bk.select("tid", F.explode("items").alias("item")).join(places, "item").groupBy("tid").agg(F.array_sort(F.collect_list("p")).alias("b"))
     weighted = coded.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
-    tasks = weighted.select(F.array().cast("array<int>").alias("parent"), F.explode("b").alias("j"), "b", "w").withColumn("task", F.col("j").cast("string")).persist()
+    tasks = weighted.select(F.array().cast("array<int>").alias("parent"), F.explode("b").alias("j"), "b", "w").withColumn("task", F.col("j").cast("string")).checkpoint()
 
     def local(frame: pd.DataFrame) -> pd.DataFrame:
         found = search([np.asarray(b) for b in frame["b"]], frame["w"].to_numpy(np.int64), count, list(frame["parent"].iloc[0]), int(frame["j"].iloc[0]))
@@ -74,7 +77,7 @@ def closed_sets(bk: DataFrame, count: int, task_rows: int = 20_000) -> DataFrame
     while True:
         sizes = tasks.groupBy("task").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("total")).where(F.col("total") >= count)
         out.append(tasks.join(sizes.where(F.col("rows") <= task_rows).select("task"), "task").groupBy("task").applyInPandas(local, FOUND))
-        large = tasks.join(sizes.where(F.col("rows") > task_rows).select("task", "total"), "task").persist()
+        large = tasks.join(sizes.where(F.col("rows") > task_rows).select("task", "total"), "task").checkpoint()
         if large.isEmpty():
             break
         have = large.select("task", "parent", "j", "total", "w", F.explode("b").alias("x")).groupBy("task", "parent", "j", "total", "x").agg(F.sum("w").alias("n"))
@@ -83,13 +86,13 @@ def closed_sets(bk: DataFrame, count: int, task_rows: int = 20_000) -> DataFrame
             F.array_sort(F.collect_list(F.when((F.col("n") >= count) & (F.col("n") < F.col("total")), F.col("x")))).alias("more"),
         )
         early = lambda c: F.filter(c, lambda x: x < F.col("j"))
-        step = step.where(early("shut") == early("parent")).persist()
+        step = step.where(early("shut") == early("parent")).checkpoint()
         out.append(step.select(F.col("shut").alias("items"), F.col("total").alias("support"), (F.size("more") == 0).alias("maximal")))
         grown = step.select("task", F.col("shut").alias("parent"), F.explode(F.filter("more", lambda x: x > F.col("j"))).alias("j"))
-        tasks = large.select("task", "b", "w").join(grown, "task").where(F.array_contains("b", F.col("j"))).withColumn("task", F.concat_ws(",", "task", F.col("j").cast("string"))).persist()
+        tasks = large.select("task", "b", "w").join(grown, "task").where(F.array_contains("b", F.col("j"))).withColumn("task", F.concat_ws(",", "task", F.col("j").cast("string"))).checkpoint()
     found = out[0]
     for part in out[1:]:
         found = found.unionByName(part)
-    named = found.withColumn("set", F.monotonically_increasing_id()).persist()
+    named = found.withColumn("set", F.monotonically_increasing_id())
     rows = named.select("set", "support", "maximal", F.explode("items").alias("p")).join(places, "p").groupBy("set", "support", "maximal").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
     return rows.select("items", F.array_join("items", SEPARATOR).alias("itemset"), F.size("items").alias("len"), "support", "maximal")

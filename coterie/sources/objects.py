@@ -13,11 +13,11 @@ def _fields():
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """Lines `id, x, y, kw1, kw2, ...` as (id, x, y, kw); blank lines are skipped."""
     p = spark.read.text(path).where(F.trim("value") != "").select(_fields().alias("p"))
-    return p.select(F.col("p")[0].cast("bigint").alias("id"), F.col("p")[1].cast("double").alias("x"), F.col("p")[2].cast("double").alias("y"), F.array_distinct(F.slice("p", 4, F.greatest(F.size("p") - 3, F.lit(0)))).alias("kw"))
+    return p.select(F.get("p", F.lit(0)).try_cast("bigint").alias("id"), F.get("p", F.lit(1)).try_cast("double").alias("x"), F.get("p", F.lit(2)).try_cast("double").alias("y"), F.array_distinct(F.slice("p", 4, F.greatest(F.size("p") - 3, F.lit(0)))).alias("kw"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Lines `id, xmin, ymin, xmax, ymax, kw1, ...` as (qid, x0, y0, x1, y1, kw)."""
     p = spark.read.text(path).where(F.trim("value") != "").select(_fields().alias("p"))
-    box = [F.col("p")[i + 1].cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
-    return p.select(F.col("p")[0].cast("bigint").alias("qid"), *box, F.array_distinct(F.slice("p", 6, F.greatest(F.size("p") - 5, F.lit(0)))).alias("kw"))
+    box = [F.get("p", F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return p.select(F.get("p", F.lit(0)).try_cast("bigint").alias("qid"), *box, F.array_distinct(F.slice("p", 6, F.greatest(F.size("p") - 5, F.lit(0)))).alias("kw"))
