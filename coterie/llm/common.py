@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.functions.session import shared_folder
+
+__all__ = ["BATCH_ROWS", "CHUNK_BYTES", "WORD", "bytes_list", "documents", "held_out", "shared_folder", "small_batches", "sub_batches", "table", "word_count", "words_of"]
+
 #: A word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at once inside a Python worker.
 CHUNK_BYTES = 4 << 20
+#: Rows in an Arrow batch: whole texts travel in it, and it is held on both sides of the pipe.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session's Python stages, unless it has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jsc.get() if jsc.isDefined() else tempfile.mkdtemp(prefix="coterie-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def words_of(text: str | Column) -> Column:

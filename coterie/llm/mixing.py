@@ -136,17 +136,17 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     there, is the new text's length.
     """
     parts = mix(docs, with_parts=True, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), F.col("nth").alias("_nth"), "parts")
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "source", "text"))
+    # the row travels as one column, so that no name of docs meets one from here
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("doc_id", "source", "text").alias("_k"))
     keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "doc_id").orderBy(F.lit(1))))
-    met = keyed.join(parts.hint("merge"), keyed["_k"].eqNullSafe(parts["_k"]) & keyed["doc_id"].eqNullSafe(parts["_id"]) & (keyed["_nth"] == parts["_nth"])).drop("_id", "_k", "_nth")
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    met = met.withColumn("_pieces", pieces).withColumn("_epoch", F.explode(F.array_distinct(F.transform("parts", lambda p: p["epoch"]))))
-    own = F.filter("parts", lambda p: p["epoch"] == F.col("_epoch"))
-    text = F.array_join(F.flatten(F.transform(own, lambda p: F.slice("_pieces", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
-    met = met.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast("long"))
-    return met.select(*docs.columns)
+    met = keyed.join(parts.hint("merge"), (keyed["_k"] == parts["_k"]) & keyed["doc_id"].eqNullSafe(parts["_id"]) & (keyed["_nth"] == parts["_nth"]))
+    met = met.select("row", "parts", F.regexp_extract_all(F.col("row.text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)).alias("pieces"))
+    met = met.withColumn("epoch", F.explode(F.array_distinct(F.transform("parts", lambda p: p["epoch"]))))
+    own = F.filter("parts", lambda p: p["epoch"] == F.col("epoch"))
+    text = F.array_join(F.flatten(F.transform(own, lambda p: F.slice("pieces", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
+    met = met.select("row", text.alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return met.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

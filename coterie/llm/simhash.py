@@ -378,10 +378,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     """One row of docs for each class: of its smallest doc_id (a null comes last), then of the smallest hash of the text."""
     classes = near_duplicates(docs, width=width, similarity=similarity).select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th").alias("rank"))
     best = classes.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.none").alias("_none"), F.col("best.id").alias("_id"), F.col("best.th").alias("_th"))
-    keyed = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_th", F.xxhash64("text"))
+    # the row travels as one column, so that no name of docs meets one from here
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_th"))
     met = keyed.join(best, ["_none", "_id", "_th"], "left_semi")
     again = Window.partitionBy("_none", "_id", "_th").orderBy("_th")  # equal rows are copies of each other
-    return met.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns)
+    return met.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -98,8 +98,9 @@ def judge(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None, url:
     own = cut.select("host", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0).alias("blocked"))
     if outcomes is not None:  # every host is asked about, also those without an outcome
         own = cut.select("host", F.lit(None).cast("int").alias("blocked")).unionByName(outcomes.select("host", F.col("blocked").cast("int").alias("blocked")))
-    by_host = reputations(own, **how).select("host", "reputation")
-    return cut.join(by_host, "host", "left").select(*kept, "host", "path", "rule", F.coalesce("_ruled", "reputation", F.lit("allow")).alias("verdict"))
+    by_host = reputations(own, **how).select(F.col("host").alias("_host"), F.col("reputation").alias("_reputation"))
+    met = cut.join(by_host, F.col("host") == F.col("_host"), "left")
+    return met.select(*kept, "host", "path", "rule", F.coalesce("_ruled", "_reputation", F.lit("allow")).alias("verdict"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
