@@ -5,7 +5,7 @@ blocked among labelled pages shrink down a hierarchy: a suffix towards the whole
 table's rate, a registered domain towards its suffix, a host towards its domain,
 each as a beta-binomial whose prior mean is the parent's posterior mean. A level's
 prior strength comes from the data by the method of moments: the correlation of
-outcomes within its units. A host is blocked where the posterior's lower bound,
+outcomes within its units, around their parents' rates. A host is blocked where the posterior's lower bound,
 mean - z * deviation, is above `most_blocked`.
 
 All of it is DataFrame aggregation and equi-joins. Outcomes are counted per host
@@ -32,6 +32,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 Z, MOST_BLOCKED, UNSEEN = 1.64, 0.5, 0.0
 LEAST_RHO, MOST_RHO = 0.001, 0.999
+PRIOR_RHO, PRIOR_ROOM = 0.1, 5.0
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -56,13 +57,21 @@ def domain_and_suffix(host: Column) -> tuple[Column, Column]:
     return F.when(two == "", bare).otherwise(two), F.regexp_extract(bare, r"([^.]*)$", 1)
 
 
-def rho(n: float, units: float, blocked: float, squares: float) -> float:
-    """Correlation of outcomes within units; squares is the sum of blocked^2 / n."""
-    if n <= units or blocked <= 0 or blocked >= n:
-        return LEAST_RHO if n > units else 0.5
-    m = blocked / n
-    found = ((squares - n * m * m) / (m * (1 - m)) - units) / (n - units)
-    return min(MOST_RHO, max(LEAST_RHO, found))
+def rho(spread: float | None, chance: float | None, room: float | None) -> float:
+    """Correlation of outcomes within units, given their parents' rates m.
+
+    spread: sum of n (p - m)^2; chance: sum of m (1 - m), what spread would be without
+    correlation; room: sum of (n - 1) m (1 - m), what it can add. Few outcomes say
+    little, so PRIOR_RHO stands in with the weight of PRIOR_ROOM.
+    """
+    return min(MOST_RHO, max(LEAST_RHO, ((spread or 0.0) - (chance or 0.0) + PRIOR_RHO * PRIOR_ROOM) / ((room or 0.0) + PRIOR_ROOM)))
+
+
+def _kappa(level: DataFrame, n: str, b: str, parent: Column) -> float:
+    """The prior strength of a level's units around their parent's rate."""
+    v, p = parent * (1 - parent), F.col(b) / F.col(n)
+    s = level.where(F.col(n) > 0).agg(F.sum(F.col(n) * (p - parent) * (p - parent)).alias("spread"), F.sum(v).alias("chance"), F.sum((F.col(n) - 1) * v).alias("room")).first()
+    return 1 / rho(s["spread"], s["chance"], s["room"]) - 1
 
 
 def reputations(outcomes: DataFrame, z: float = Z, most_blocked: float = MOST_BLOCKED, unseen: float = UNSEEN) -> DataFrame:
@@ -73,13 +82,10 @@ def reputations(outcomes: DataFrame, z: float = Z, most_blocked: float = MOST_BL
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix).checkpoint()
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    kappa = []
-    for level, n, b in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "b")):
-        s = level.where(F.col(n) > 0).agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("units"), F.sum(b).alias("b"), F.sum(F.col(b) * F.col(b) / F.col(n)).alias("squares")).first()
-        total, blocked = s["n"] or 0, s["b"] or 0
-        kappa.append(1 / rho(total, s["units"], blocked, s["squares"] or 0.0) - 1)
-    rate = blocked / total if total else unseen
+    g = suffixes.agg(F.sum("sn").alias("n"), F.sum("sb").alias("b")).first()
+    rate = g["b"] / g["n"] if g["n"] else unseen
     met = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix")
+    kappa = [_kappa(suffixes, "sn", "sb", F.lit(rate)), _kappa(domains.join(suffixes, "suffix"), "dn", "db", F.col("sb") / F.col("sn")), _kappa(met, "n", "b", F.col("db") / F.col("dn"))]
     shrunk = lambda b, n, k, parent: (F.col(b) + k * parent) / (F.col(n) + k)
     met = met.withColumn("suffix_rate", shrunk("sb", "sn", F.lit(kappa[0]), F.lit(rate)))
     met = met.withColumn("domain_rate", shrunk("db", "dn", F.lit(kappa[1]), F.col("suffix_rate")))
@@ -107,14 +113,10 @@ def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _sql_rho(level: str) -> str:
-    m = f"({level}.b / {level}.n)"
-    found = f"(({level}.squares - {level}.n * {m} * {m}) / ({m} * (1 - {m})) - {level}.units) / ({level}.n - {level}.units)"
-    return f"CASE WHEN {level}.n <= {level}.units OR {level}.b <= 0 OR {level}.b >= {level}.n THEN CASE WHEN {level}.n > {level}.units THEN {LEAST_RHO} ELSE 0.5 END ELSE least({MOST_RHO}, greatest({LEAST_RHO}, {found})) END::DOUBLE"
-
-
-def _sql_sums(of: str, n: str, b: str) -> str:
-    return f"(SELECT coalesce(sum({n}), 0)::DOUBLE AS n, count(*)::DOUBLE AS units, coalesce(sum({b}), 0)::DOUBLE AS b, coalesce(sum({b}::DOUBLE * {b} / {n}), 0)::DOUBLE AS squares FROM {of} WHERE {n} > 0)"
+def _sql_kappa(of: str, n: str, b: str, parent: str) -> str:
+    m, p = f"({parent})", f"({b} / {n})"
+    sums = f"SELECT sum({n} * ({p} - {m}) * ({p} - {m})) AS spread, sum({m} * (1 - {m})) AS chance, sum(({n} - 1) * {m} * (1 - {m})) AS room FROM {of} WHERE {n} > 0"
+    return f"(SELECT 1 / least({MOST_RHO}::DOUBLE, greatest({LEAST_RHO}::DOUBLE, (coalesce(spread, 0) - coalesce(chance, 0) + {PRIOR_RHO * PRIOR_ROOM}::DOUBLE) / (coalesce(room, 0) + {PRIOR_ROOM}::DOUBLE))) - 1 FROM ({sums}))"
 
 
 _FITS = [f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN" for _, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1:]))]
@@ -126,8 +128,8 @@ h0 AS (SELECT host, count(ruled)::BIGINT AS n, count(*) FILTER (ruled = 'block')
 hosts AS (SELECT *, CASE WHEN regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) = '' THEN bare ELSE regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) END AS domain, regexp_extract(bare, '([^.]*)$', 1) AS sfx FROM h0),
 domains AS (SELECT domain, sfx, sum(n)::BIGINT AS dn, sum(b)::BIGINT AS db FROM hosts GROUP BY ALL),
 suffixes AS (SELECT sfx, sum(dn)::BIGINT AS sn, sum(db)::BIGINT AS sb FROM domains GROUP BY ALL),
-k AS (SELECT CASE WHEN h.n > 0 THEN h.b / h.n ELSE {UNSEEN} END::DOUBLE AS rate, 1 / ({_sql_rho('s')}) - 1 AS k1, 1 / ({_sql_rho('d')}) - 1 AS k2, 1 / ({_sql_rho('h')}) - 1 AS k3
-  FROM {_sql_sums('suffixes', 'sn', 'sb')} s, {_sql_sums('domains', 'dn', 'db')} d, {_sql_sums('hosts', 'n', 'b')} h),
+g AS (SELECT coalesce(sum(sb) / nullif(sum(sn), 0), {UNSEEN})::DOUBLE AS rate FROM suffixes),
+k AS (SELECT rate, {_sql_kappa('suffixes', 'sn', 'sb', '(SELECT rate FROM g)')} AS k1, {_sql_kappa('(SELECT * FROM domains JOIN suffixes USING (sfx))', 'dn', 'db', 'sb / sn')} AS k2, {_sql_kappa('(SELECT * FROM hosts JOIN domains USING (domain, sfx))', 'n', 'b', 'db / dn')} AS k3 FROM g),
 p AS (SELECT host, n, k3, (b + k3 * (db + k2 * (sb + k1 * rate) / (sn + k1)) / (dn + k2)) / (n + k3) AS post FROM hosts JOIN domains USING (domain, sfx) JOIN suffixes USING (sfx), k)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN post - {Z}::DOUBLE * sqrt(post * (1 - post) / (n + k3 + 1)) > {MOST_BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled JOIN p USING (host)
