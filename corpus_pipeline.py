@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
-from coterie.llm.common import documents, shared_folder, table
+from coterie.llm.common import documents, shared_folder, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     extra = [c for c in docs.columns if c not in quality.COUNTS and c not in ("base_failed", "kept")]
     clash = [c for c in docs.columns if c not in extra]
@@ -41,24 +42,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs, similarity=0.8, width=5)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_dedup.deduplicated(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mixed_texts(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), path, pattern).drop("text")
-    coded = coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", byte_bpe.digest())
-    return byte_bpe.decode(coded, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    both = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), path, pattern)
+    return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

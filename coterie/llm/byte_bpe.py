@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import documents, sub_batches
+from coterie.llm.common import documents, sub_batches, tidied
 
 #: Characters a leaf of the text tree has, bytes a leaf of the merge tree has.
 TEXT_LEAF, MERGE_LEAF = 4096, 24
@@ -193,39 +193,50 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the column `ids` (array<int>) for the column `text`; `path` must be readable on every executor."""
-    kept = [c for c in df.columns if c != ids]
-    out = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    own = codec(path, pattern)
+    for batch in batches:
+        kept = [c for c in batch.schema.names if c != ids]
+        for part in sub_batches(batch, text):
+            got = [own.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
+            array = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), array], [*kept, ids])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ids: str, decoded: str) -> Iterator[pa.RecordBatch]:
+    own = codec(path, pattern)
+    for batch in batches:
+        kept = [c for c in batch.schema.names if c != decoded]
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            column = part.column(part.schema.get_field_index(ids))
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            got = [own.decode(flat[ends[i] : ends[i + 1]]) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(got, pa.binary())], [*kept, decoded])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            for part in sub_batches(batch, text):
-                got = [own.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
-                array = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), array], [*kept, ids])
+IDS, DECODED = T.ArrayType(T.IntegerType(), False), T.BinaryType()
 
-    return df.select(*kept).mapInArrow(run, out)
+
+def _with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
+    names = [n for n, _ in fields]
+    return T.StructType([*(f for f in df.schema if f.name not in names), *(T.StructField(n, kind, False) for n, kind in fields)])
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds the column `ids` (array<int>) for the column `text`; `path` must be readable on every executor."""
+    return df.mapInArrow(tidied(lambda batches: _encoded(batches, path, pattern, text, ids)), _with(df, (ids, IDS)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the column `decoded` (binary) for the column `ids`; null ids decode to no bytes."""
-    kept = [c for c in df.columns if c != decoded]
-    out = T.StructType([*(df.schema[c] for c in kept), T.StructField(decoded, T.BinaryType(), False)])
+    return df.mapInArrow(tidied(lambda batches: _decoded(batches, path, pattern, ids, decoded)), _with(df, (decoded, DECODED)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                column = part.column(part.schema.get_field_index(ids))
-                flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                got = [own.decode(flat[ends[i] : ends[i + 1]]) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(got, pa.binary())], [*kept, decoded])
 
-    return df.mapInArrow(run, out)
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode, then decode of its ids, in one worker."""
+    return df.mapInArrow(tidied(lambda batches: _decoded(_encoded(batches, path, pattern, text, ids), path, pattern, ids, decoded)), _with(df, (ids, IDS), (decoded, DECODED)))
 
 
 def digest(ids: str = "ids"):
@@ -237,6 +248,5 @@ def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest().alias("ids_sha256"), "ids")
-    return decode(coded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions.session import shared_folder
 
-__all__ = ["BATCH_ROWS", "CHUNK_BYTES", "WORD", "bytes_list", "documents", "held_out", "shared_folder", "small_batches", "sub_batches", "table", "word_count", "words_of"]
+__all__ = ["BATCH_ROWS", "CHUNK_BYTES", "WORD", "bytes_list", "documents", "held_out", "shared_folder", "small_batches", "sub_batches", "table", "tidied", "word_count", "words_of"]
 
 #: A word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +52,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def tidied(run):
+    """The function for mapInArrow that gives memory back when its task ends: workers are used again, and what they keep adds up."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: nothing to trim
+
+    return wrapped
+
+
 def sub_batches(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of a batch whose texts have about `limit` bytes together (one row at least)."""
     n = batch.num_rows

@@ -7,8 +7,8 @@ worth; a rule that is precise and wide enough enters the list and the rows it
 covers leave both sets. The list becomes one Spark `when` chain over the
 statistics, so that judging needs no Python.
 
-Only the fit uses a sample, of about `max_labelled` labelled rows taken by hash;
-the statistics and the verdicts cover every row.
+Only the fit uses a sample, of about `max_labelled` labelled rows taken by hash
+(twice as many at most); the statistics and the verdicts cover every row.
 
 Edge cases: a null or empty text has no words, so the base test fails it; without
 labelled rows, or with labels of one class, the list is empty and only the base
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import bytes_list, documents, sub_batches, table
+from coterie.llm.common import bytes_list, documents, sub_batches, table, tidied
 
 BLANK = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -67,7 +67,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
                 found = np.array([text_counts(x) for x in bytes_list(part.column(part.schema.get_field_index(text)))], np.int64).reshape(-1, len(COUNTS))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *(pa.array(found[:, i].copy()) for i in range(len(COUNTS)))], [*kept, *COUNTS])
 
-    return df.select(*kept).mapInArrow(run, out)
+    return df.select(*kept).mapInArrow(tidied(run), out)
 
 
 def features() -> dict[str, Column]:
@@ -173,7 +173,7 @@ def base_failed() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 20_000, **how) -> list[Rule]:
     """Learns the list from the documents that have a label (0: reject)."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
     total = known.count()
     if not total:
         return []
@@ -183,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     counted = with_counts(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
     names = list(features())
     counted = counted.where(~base_failed())  # the list is only asked about the others
-    rows = counted.select("doc_id", "_label", *(v.alias(f"f_{k}") for k, v in features().items())).orderBy("doc_id", *(f"f_{k}" for k in names)).toPandas()
+    # the limit only binds where some doc_id is on very many rows
+    rows = counted.select("doc_id", "_label", *(v.alias(f"f_{k}") for k, v in features().items())).limit(2 * max_labelled).toPandas()
+    rows = rows.sort_values(["doc_id", *(f"f_{k}" for k in names)], kind="stable")
     if rows["_label"].nunique() < 2:
         return []
     return learn(rows[[f"f_{k}" for k in names]].to_numpy(np.float64), rows["_label"].to_numpy() == 0, names, **how)

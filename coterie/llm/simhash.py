@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import bytes_list, documents, shared_folder, sub_batches
+from coterie.llm.common import bytes_list, documents, shared_folder, sub_batches, tidied
 from coterie.llm.components import components
 
 SEED = 42
@@ -129,7 +129,7 @@ def fingerprints(df: DataFrame, width: int = 5, words: int = 1, once: bool = Fal
                 found = fingerprints_of(bytes_list(part.column(part.schema.get_field_index(text))), width, words, once)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), to_binary(found)], [*kept, name])
 
-    return df.select(*kept).mapInArrow(run, out)
+    return df.select(*kept).mapInArrow(tidied(run), out)
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def linked(fps: DataFrame, tables: list[np.ndarray], words: int, radius: int, ro
                 for t, table in enumerate(tables):
                     yield pa.RecordBatch.from_arrays([column, pa.array(np.full(len(bits), t, np.int32)), pa.array(keys_of(bits, table))], ["fp", "t", "key"])
 
-    keyed = fps.select("fp").mapInArrow(key, "fp binary, t int, key long")
+    keyed = fps.select("fp").mapInArrow(tidied(key), "fp binary, t int, key long")
     large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     parts = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
@@ -345,7 +345,7 @@ def linked(fps: DataFrame, tables: list[np.ndarray], words: int, radius: int, ro
             yield from pack(int(t), [fp[i:j] for i, j in zip(starts[table_of == t], ends[table_of == t])])
         return data.slice(rest).to_batches() if rest < len(fp) else []
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float | None = None, recall: float = 0.98) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import documents
+from coterie.llm.common import documents, tidied
 from coterie.llm.windows import BASES, NO_ID, PLACES, RECORD, Chunk, Rolling, Sender, by_document, chunks, covered, flagged_windows, keyed, owners, partitions_of, repeated_anchors, word_units
 
 WINDOW, GRAM = 35, 10
@@ -41,8 +41,8 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             yield from out.add(chunk.roll.ranges(lo, lo + window), second, ids.to_numpy()[owner], ths.to_numpy()[owner], (lo - chunk.begins[owner]).astype(np.int32))
         yield from out.flush()
 
-    sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(send, RECORD)
-    return by_document(sent.repartitionById(n, "part").mapInArrow(owners(n), PLACES), n)
+    sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(tidied(send), RECORD)
+    return by_document(sent.repartitionById(n, "part").mapInArrow(tidied(owners(n)), PLACES), n)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -66,7 +66,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 kept.append(b" ".join(own_words))
             yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return marked.select("doc_id", "text", "starts", "lens").mapInArrow(cut, out).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return marked.select("doc_id", "text", "starts", "lens").mapInArrow(tidied(cut), out).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op4_substrings(spark, sf_dir: str) -> DataFrame:

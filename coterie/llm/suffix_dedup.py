@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import WORD, documents
+from coterie.llm.common import WORD, documents, tidied
 from coterie.llm.prefix_free import repeats
 from coterie.llm.windows import BASES, NO_ID, PLACE_NAMES, PLACES, Chunk, Rolling, by_document, by_slice, byte_units, chunks, covered, flagged_windows, keyed, packed, part_of, partitions_of, repeated_anchors
 
@@ -159,17 +159,21 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             found = list(_settle(held, window))
             yield from settled_rows(*(np.concatenate(x) for x in zip(*found)), n, PLACE_NAMES)
 
-    sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(send, CONTEXTS)
-    return by_document(sent.repartitionById(n, "part").mapInArrow(own, PLACES), n)
+    sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(tidied(send), CONTEXTS)
+    return by_document(sent.repartitionById(n, "part").mapInArrow(tidied(own), PLACES), n)
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the carried columns, n_bytes, n_removed, n_spans, kept): kept has the bytes left (binary)."""
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, the carried columns, n_bytes, n_removed, n_spans, kept): kept has the bytes left (binary).
+
+    as_text: kept is a string, without characters that were cut in two. Carried columns must
+    not have the names of the others.
+    """
     own = keyed(docs, carried)
     marks = marked_windows(own.select("doc_id", "th", "text"), window, gram)
     marked = own.join(marks, ["doc_id", "th"], "left")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
-    out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.BinaryType())])
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, (ids, starts, lens, *rest) in chunks(batches, ["doc_id", "starts", "lens", *carried]):
@@ -184,10 +188,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carrie
                 removed.append(int(hit.sum()))
                 spans.append(int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()))
                 kept.append(np.frombuffer(text, np.uint8)[~hit].tobytes())
-            yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(list(map(len, texts)), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", *carried, *names])
+            yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(list(map(len, texts)), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["doc_id", *carried, *names])
 
     cols = ["doc_id", "text", "starts", "lens", *carried]
-    return marked.select(*cols).mapInArrow(cut, out).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return marked.select(*cols).mapInArrow(tidied(cut), out).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -197,20 +201,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """
     carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     renamed = {c: f"_c{i}" for i, c in enumerate(carried)}  # whatever their names are, they don't meet the result's
-    cut = suffix_dedup(docs.withColumnsRenamed(renamed), window, gram, tuple(renamed.values()))
-    left = cut.withColumn("text", F.col("kept"))
-    i = left.columns.index("text")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(i).to_pylist()]
-            yield batch.set_column(i, "text", pa.array(texts, pa.string()))
-
-    out = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in left.schema])
-    back = left.mapInArrow(read, out).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).withColumnsRenamed({v: k for k, v in renamed.items()})
-    if "n_chars" in docs.columns:
-        back = back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return back.select(*docs.columns)
+    cut = suffix_dedup(docs.withColumnsRenamed(renamed), window, gram, tuple(renamed.values()), as_text=True)
+    left = cut.where((F.col("n_removed") == 0) | F.col("kept").rlike(WORD))
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*(changed.get(c, F.col(renamed.get(c, c))).alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.llm.common import bytes_list, sub_batches
+from coterie.llm.common import bytes_list, sub_batches, tidied
 
 CHUNK, FLUSH = 1 << 19, 3_000_000
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
@@ -300,7 +300,7 @@ def merged_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def by_document(places: DataFrame, n: int) -> DataFrame:
     """MARKS from PLACES: all places of a document in one row."""
-    return places.repartitionById(n, "part").mapInArrow(merged_places, MARKS)
+    return places.repartitionById(n, "part").mapInArrow(tidied(merged_places), MARKS)
 
 
 def partitions_of(df: DataFrame) -> int:
@@ -319,7 +319,7 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, gram: int) -> D
             yield from out.add(key, np.zeros(len(key), np.uint32), ids.to_numpy()[owner], ths.to_numpy()[owner], pos.astype(np.int32))
         yield from out.flush()
 
-    found = docs.mapInArrow(send, RECORD).repartitionById(n, "part").mapInArrow(owners(n), PLACES)
+    found = docs.mapInArrow(tidied(send), RECORD).repartitionById(n, "part").mapInArrow(tidied(owners(n)), PLACES)
     return by_document(found, n).select("doc_id", "th", F.col("starts").alias("places"))
 
 
