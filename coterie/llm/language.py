@@ -148,13 +148,14 @@ def fit(docs: DataFrame, texts_per_language: int = 3000, least_share: float = 0.
                     g, n = np.unique(h[which == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "gram", "n"])
                 used = np.bincount(lang, minlength=len(languages))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages), dtype=np.int32)), pa.nulls(len(languages), pa.int64()), pa.array(used.astype(np.int64))], ["k", "gram", "n"])
+                # texts of language k count under -1 - k: a null would make pandas round the hashes to floats
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(languages), dtype=np.int32)), pa.array(np.zeros(len(languages), np.int64)), pa.array(used.astype(np.int64))], ["k", "gram", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     # bounded by the sample: n-grams that enough of its texts have
-    found = counted.where(F.col("gram").isNull() | (F.col("n") >= 2)).toPandas()
-    used = found[found.gram.isna()].set_index("k")["n"].reindex(range(len(languages)), fill_value=0).to_numpy()
-    found = found[found.gram.notna()]
+    found = counted.where((F.col("k") < 0) | (F.col("n") >= 2)).toPandas()
+    used = found[found.k < 0].set_index("k")["n"].reindex(-1 - np.arange(len(languages)), fill_value=0).to_numpy()
+    found = found[found.k >= 0]
     k, gram = found["k"].to_numpy(), found["gram"].to_numpy(np.int64)
     share = found["n"].to_numpy() / np.maximum(used[k], 1)
     order = np.argsort(gram, kind="stable")
