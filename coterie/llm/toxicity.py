@@ -9,14 +9,16 @@ the place of an insult in it do not matter; two numbers fitted on labelled texts
 turn it into a probability.
 
 Only fitting uses a sample: about `max_labelled` labelled texts taken by hash, of
-which the driver receives a few windows each. Word statistics of the sample choose
+which the driver receives a few windows each (a bound holds even where one id is on
+most rows). Word statistics of the sample choose
 them: the most telling one of a toxic text, the most telling and other ones of the
 rest. Scoring covers every word of every text.
 
 Edge cases: a null or empty text is one window without words, whose logit is the
 output's constant; rows without a label are not learned from; with labels of one
 class or none, every score is the share of toxic labels (0 without labels);
-repeated rows score alike. A worker holds one chunk of text at a time.
+repeated rows score alike, of several labels of one id the largest counts. A worker
+holds one chunk of text at a time.
 """
 
 from __future__ import annotations
@@ -252,7 +254,7 @@ def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, steps: int =
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str = "toxic", windows_of_clean: int = 3, seed: int = 3) -> Network | float:
     """The network, or the share of toxic labels where there is nothing to tell apart."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col(label) > 0).cast("int").alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -300,9 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str
                         ys.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ys, pa.int32())], ["window", "y"])
 
-    chosen = sample.mapInArrow(choose, "window binary, y int").orderBy("y", "window").toPandas()
-    net = train([bytes(x) for x in chosen["window"]], chosen["y"].to_numpy(), seed=seed)
-    scored = logits_of(sample, net).select("logit", "y").orderBy("y", "logit").toPandas()
+    # the limits only bind where some doc_id is on very many rows
+    chosen = sample.mapInArrow(choose, "window binary, y int").limit(2 * max_labelled * (1 + windows_of_clean)).toPandas()
+    chosen["window"] = chosen["window"].map(bytes)
+    chosen = chosen.sort_values(["y", "window"], kind="stable")
+    net = train(chosen["window"].tolist(), chosen["y"].to_numpy(), seed=seed)
+    scored = logits_of(sample, net).select("logit", "y").limit(2 * max_labelled).toPandas().sort_values(["y", "logit"], kind="stable")
     calibrate(net, scored["logit"].to_numpy(), scored["y"].to_numpy())
     return net
 
