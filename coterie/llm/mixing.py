@@ -105,8 +105,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     small = sources.select("sid", F.col("source").alias("_source"), "source_size", "target")
     placed = sized.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("_source")))
     buckets = max(64, n // 20_000)
+    # by id and size, so that rows without an id are spread as well
     doc = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PRIME))
-    placed = placed.withColumn("bucket", F.pmod(F.pmod(doc * 48271, F.lit(PRIME)), F.lit(buckets)))
+    placed = placed.withColumn("bucket", F.pmod(F.pmod(doc * 48271 + F.col("size"), F.lit(PRIME)), F.lit(buckets)))
     within = Window.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "k")
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("row", F.row_number().over(within))
     totals = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -183,7 +184,7 @@ drawn AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY shard ROWS B
 numbered AS (SELECT sid, blocks, unnest(range(start, start + n)) AS i FROM drawn),
 times AS (SELECT sid, {_sql_permuted('i % blocks', 'blocks', f'{SEED + 1} + sid * 2 + i // blocks')} AS block, count(*) AS times FROM numbered GROUP BY ALL),
 n AS (SELECT greatest(64, count(*) // 20000) AS buckets FROM sized),
-placed AS (SELECT d.doc_id, d.size, s.*, ((coalesce(d.doc_id, 0) % {PRIME} + {PRIME}) % {PRIME} * 48271 % {PRIME}) % (SELECT buckets FROM n) AS bucket FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+placed AS (SELECT d.doc_id, d.size, s.*, ((coalesce(d.doc_id, 0) % {PRIME} + {PRIME}) % {PRIME} * 48271 + d.size) % {PRIME} % (SELECT buckets FROM n) AS bucket FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
 laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_word FROM placed),
 spread AS (SELECT doc_id, sid, at_word, size, unnest(range(at_word // {BLOCK_WORDS}, (at_word + size - 1) // {BLOCK_WORDS} + 1)) AS block FROM laid WHERE size > 0),
 sums AS (SELECT doc_id, sum(times * (least(size, (block + 1) * {BLOCK_WORDS} - at_word) - greatest(0, block * {BLOCK_WORDS} - at_word))) AS taken FROM spread JOIN times USING (sid, block) GROUP BY doc_id)

@@ -39,7 +39,7 @@ CODEC = "zstd"
 
 def settled_rows(doc, th, pos, lens, n: int, names: list[str]):
     """Rows with runs of marked starts for the partitions that gather them; other columns are null."""
-    for s, (d, t, p, z) in by_slice(part_of(doc, n), [doc, th, pos.astype(np.int32), lens.astype(np.int32)]):
+    for s, (d, t, p, z) in by_slice(part_of(doc, th, n), [doc, th, pos.astype(np.int32), lens.astype(np.int32)]):
         by_name = {"doc": d, "th": t, "pos": p, "sizes": z, "lens": z}
         yield packed(s, names, [by_name.get(c) for c in names])
 

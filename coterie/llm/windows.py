@@ -89,7 +89,8 @@ class Chunk:
             self.hashes = np.zeros(0, np.uint64)
             return
         self.hashes = self.roll.grams(gram)
-        bits = np.uint64((1 << max(1, int(self.n).bit_length())) - 1)
+        # 32 bits of the hash, then the place: the same bits in every chunk, so that equal windows choose alike
+        bits = np.uint64(0xFFFFFFFF)
         v = (self.hashes & ~bits) | np.arange(len(self.hashes), dtype=np.uint64)
         width, span = window - gram + 1, 1
         while 2 * span <= width:
@@ -163,9 +164,9 @@ def by_slice(slices: np.ndarray, columns: list[np.ndarray]):
         yield int(slices[at[0]]), [c[at] for c in columns]
 
 
-def part_of(doc: np.ndarray, n: int) -> np.ndarray:
-    """The partition, of n, that gathers a document's places."""
-    return (finished(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def part_of(doc: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
+    """The partition, of n, that gathers a document's places; rows with one id are spread by their texts."""
+    return (finished(doc.view(np.uint64) + th.astype(np.uint64) * np.uint64(BASES[1])) % np.uint64(n)).astype(np.int64)
 
 
 def packed(part: int, names: list[str], columns) -> pa.RecordBatch:
@@ -211,7 +212,7 @@ class Sender:
         first.sort()
         for s, (k, k2, d, t, p) in by_slice((key[first] % np.uint64(self.n)).astype(np.int64), [key[first], key2[first], doc[first], th[first], pos[first]]):
             yield packed(s, RECORD_NAMES, (k, k2 if self.second else None, d, t, p, None))
-        for s, (d, t, p) in by_slice(part_of(doc[many], self.n), [doc[many], th[many], pos[many]]):
+        for s, (d, t, p) in by_slice(part_of(doc[many], th[many], self.n), [doc[many], th[many], pos[many]]):
             yield packed(s, RECORD_NAMES, (None, None, d, t, p, None))
 
 
@@ -277,7 +278,7 @@ def owners(n: int):
             kept.append([c[likely] for c in part])
         key, key2, doc, th, pos = (np.concatenate(x) for x in zip(*kept))
         _, many = first_of_keys(key, key2)
-        for s, columns in by_slice(part_of(doc[many], n), [doc[many], th[many], pos[many]]):
+        for s, columns in by_slice(part_of(doc[many], th[many], n), [doc[many], th[many], pos[many]]):
             yield packed(s, PLACE_NAMES, (*columns, None))
 
     return run
