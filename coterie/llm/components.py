@@ -1,8 +1,9 @@
 """Connected components over a table of links, by alternating large and small stars.
 
 Links never leave the executors. Each round is two aggregations by node with
-map-side combining and two joins whose skewed partitions Spark may split; it is
-written to the checkpoint folder, so a lost executor costs one round at most.
+map-side combining and two joins. What is joined is written to the checkpoint folder
+first: then both sides are dealt for the join alone, so Spark may split the partition
+of a node with very many links, and a lost executor costs half a round at most.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         # large star: a node's larger neighbours move to its smallest neighbour or itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         # every edge is (u > v): seen from v, its larger neighbour u moves to the smallest around v
-        edges = edges.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        edges = edges.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct().checkpoint()
         # small star: the smaller neighbours and the node itself move to the smallest of them
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = edges.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         met = edges.join(low, "u")
         edges = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct().checkpoint()
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
