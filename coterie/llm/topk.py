@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
             out = F.when(F.size("v") == d, F.lit(n)).otherwise(out)
         return out
 
-    whole = vectors.where(F.col("id").isNotNull()).select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), per_length(shards)).cast("int").alias("shard"), "id", "v")
+    whole = vectors.where(F.col("id").isNotNull()).select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), per_length(shards)).cast("int").alias("shard"), "id", "v")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def build(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
 
     trees = whole.groupBy("dims", "shard").applyInArrow(build, "dims int, shard int, points binary, ids binary, cuts binary, low binary, high binary, least binary").checkpoint()
 
-    asking = queries.where(F.col("id").isNotNull() & F.size("v").isin(*blocks)).select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", F.lit(1)), per_length(blocks)).cast("int").alias("block"), "id", "v")
+    asking = queries.where(F.col("id").isNotNull() & F.size("v").isin(*blocks)).select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v", F.lit(1)), per_length(blocks)).cast("int").alias("block"), "id", "v")
 
     def gather(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))

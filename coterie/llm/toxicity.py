@@ -261,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str
         return float(counts.get(1, 0) / total) if total else 0.0
     if total > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / total))
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y").repartition(max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("text"))
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # about max_labelled ids of some bytes each; dealt by id, as many may share a text
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").repartition(parts, "doc_id").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
