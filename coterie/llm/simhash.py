@@ -14,7 +14,8 @@ Candidates meet in the buckets of tables, each keyed by some of the bits:
   radius follows from the angle that belongs to the similarity, and tables draw
   their bits at random: as many tables as find a pair of just that similarity with
   probability `recall`; nearer pairs are found more surely, and a class needs only
-  some of its pairs.
+  some of its pairs. What they link is compared again, class by class, in fingerprints
+  of 2048 bits at a sharper radius.
 
 Inside a bucket, fingerprints are stored as bit planes, 64 of them in a machine
 word. A chunk of queries is compared with a whole block at once: planes of
@@ -86,20 +87,20 @@ def fingerprints_of(texts: list[bytes], width: int, words: int = 1, once: bool =
         counts[i] = len(found)
     hashed, ends = np.array(hashes, np.uint64), np.cumsum(counts)
     out = np.zeros((len(texts), words), np.uint64)
-    at = 0
-    while at < len(texts):  # so many texts at once as have 100,000 shingles
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
+    at, lot = 0, 400_000 // words  # shingles whose bits are held at once
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + lot, "right")))
         lo, hi = (int(ends[at - 1]) if at else 0), int(ends[to - 1])
         some = at + np.flatnonzero(counts[at:to])
         if len(some):
             sums = 0
             begins = (ends - counts)[some]
-            if hi - lo <= 1 << 22:
+            if hi - lo <= 2 * lot:
                 bits = np.unpackbits(spread(hashed[lo:hi], words).view(np.uint8).reshape(hi - lo, -1), axis=1, bitorder="little")
                 sums = np.add.reduceat(bits, begins - lo, axis=0, dtype=np.int64)
             else:  # one very long text, in parts
-                for i in range(lo, hi, 1 << 18):
-                    part = spread(hashed[i : min(hi, i + (1 << 18))], words)
+                for i in range(lo, hi, lot):
+                    part = spread(hashed[i : min(hi, i + lot)], words)
                     sums = sums + np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[None]
             over = (2 * sums > counts[some, None]).reshape(len(some), words, 64)
             out[some] = (over.astype(np.uint64) << BITS).sum(axis=2, dtype=np.uint64)
@@ -284,90 +285,120 @@ def linked(fps: DataFrame, tables: list[np.ndarray], words: int, radius: int, ro
                     yield pa.RecordBatch.from_arrays([column, pa.array(np.full(len(bits), t, np.int32)), pa.array(keys_of(bits, table))], ["fp", "t", "key"])
 
     keyed = fps.select("fp").mapInArrow(tidied(key), "fp binary, t int, key long")
+    outside = [np.concatenate([np.setdiff1d(np.arange(64 * words), t), t]) for t in tables]  # bits in which a bucket can differ come first
+    return within_buckets(keyed, outside, words, radius, rows * len(tables), bucket_rows)
+
+
+def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, bucket_rows: int = 4096) -> DataFrame:
+    """Links (a, b) that span every class within each bucket (t, key) of keyed.
+
+    keyed has the columns fp (binary, the fingerprint's name), t, key and, if that is
+    not fp itself, print (binary, what is compared). orders: for each t the order in
+    which bits are compared.
+    """
+    more = ["print"] if "print" in keyed.columns else []
     large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     parts = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    cut = keyed.join(large, ["t", "key"], "left").select("fp", "t", "key", parts.alias("parts"), own.alias("own"))
+    cut = keyed.join(large, ["t", "key"], "left").select("fp", *more, "t", "key", parts.alias("parts"), own.alias("own"))
     # a member of part x meets each part y in the group {x, y}
-    cut = cut.select("fp", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    groups = cut.select("fp", "t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    parts_n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * len(tables) // 400_000)
+    cut = cut.select("fp", *more, "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    groups = cut.select("fp", *more, "t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    parts_n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 400_000)
     dealt = groups.repartition(parts_n, "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(members: list[np.ndarray], t: int):
-            own = np.unique(np.concatenate(members), axis=0) if len(members) > 1 else members[0]
-            outside = np.setdiff1d(np.arange(64 * words), tables[t])
-            a, b = links_within(own, radius, np.concatenate([outside, tables[t]]))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([to_binary(own[a]), to_binary(own[b])], ["a", "b"])
-
-        def pack(t: int, runs: list[np.ndarray]):
-            """Buckets that follow each other share blocks; what links across them is a link, too."""
-            room: list[np.ndarray] = []
-            have = 0
-            for x in runs:
-                if have and have + len(x) > 512:
-                    yield from emit(room, t)
-                    room, have = [], 0
-                room.append(x)
-                have += len(x)
-            if have:
-                yield from emit(room, t)
+        def emit(members: list[tuple[np.ndarray, list[bytes]]], t: int):
+            prints = np.concatenate([p for p, _ in members])
+            names = [x for _, own in members for x in own]
+            a, b = links_within(prints, radius, orders[t])
+            apart = [(names[i], names[j]) for i, j in zip(a.tolist(), b.tolist()) if names[i] != names[j]]
+            if apart:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in apart], pa.binary()), pa.array([y for _, y in apart], pa.binary())], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 1 << 15:
-                held = yield from cut_runs(held, pack, False)
+            if batch.num_rows:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= 1 << 15:
+                    held = yield from cut_runs(held, emit, False)
         if held:
-            yield from cut_runs(held, pack, True)
+            yield from cut_runs(held, emit, True)
 
-    def cut_runs(held, pack, last):
+    def cut_runs(held, emit, last):
         data = pa.Table.from_batches(held).combine_chunks()
         ids = [data.column(c).to_numpy() for c in ("t", "key", "x", "y")]
-        fp = from_binary(data.column("fp"), words)
-        change = np.zeros(len(fp), bool)
+        change = np.zeros(data.num_rows, bool)
         for c in ids:
             change[1:] |= c[1:] != c[:-1]
         starts = np.concatenate([[0], np.flatnonzero(change)])
-        ends = np.concatenate([starts[1:], [len(fp)]])
+        ends = np.concatenate([starts[1:], [data.num_rows]])
         if not last:  # the last group may go on in the next batch
             starts, ends, rest = starts[:-1], ends[:-1], int(starts[-1])
         else:
-            rest = len(fp)
-        many = ends - starts > 1
-        starts, ends = starts[many], ends[many]
-        table_of = ids[0][starts] if len(starts) else np.zeros(0, int)
-        for t in np.unique(table_of):
-            yield from pack(int(t), [fp[i:j] for i, j in zip(starts[table_of == t], ends[table_of == t])])
-        return data.slice(rest).to_batches() if rest < len(fp) else []
+            rest = data.num_rows
+        room: list[tuple[np.ndarray, list[bytes]]] = []
+        have, now = 0, -1
+        for i, j in zip(starts.tolist(), ends.tolist()):
+            if j - i < 2:
+                continue
+            t = int(ids[0][i])
+            # buckets that follow each other share a block; what links across them is a link, too
+            if room and (t != now or have + j - i > 512):
+                yield from emit(room, now)
+                room, have = [], 0
+            own = data.slice(i, j - i)
+            room.append((from_binary(own.column("print" if more else "fp"), words), own.column("fp").to_pylist()))
+            have, now = have + j - i, t
+        if room:
+            yield from emit(room, now)
+        return data.slice(rest).to_batches() if rest < data.num_rows else []
 
     return dealt.mapInArrow(tidied(run), "a binary, b binary")
 
 
+def radius_of(similarity: float, words: int, deviations: float) -> int:
+    p, n = differing(similarity), 64 * words
+    return round(n * p + deviations * math.sqrt(n * p * (1 - p)))
+
+
+def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity: float, width: int, words: int = 32) -> DataFrame:
+    """(node, root) of the classes that stand at fingerprints of 64 * words bits, within the classes found with fewer.
+
+    So wide a fingerprint tells similarities a few hundredths apart; it is only made
+    for one document of each fingerprint in a class with others.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
+    one = marked.join(classes, marked["fp"] == classes["node"]).groupBy("fp", "root").agg(F.min(rank).alias("r"))
+    one = one.select("fp", "root", F.col("r.none").alias("none"), F.col("r.id").alias("id"), F.col("r.th").alias("th"))
+    texts = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    met = texts.join(one, ["none", "id", "th"]).select("fp", F.xxhash64("root").alias("key"), "text")
+    wide = fingerprints(met, width, words, True, name="print").drop("text").checkpoint()
+    keyed = wide.dropDuplicates(["fp"]).select("fp", "print", F.lit(0).alias("t"), "key")
+    order = np.random.default_rng(5).permutation(64 * words)
+    return components(within_buckets(keyed, [order], words, radius_of(similarity, words, 1.0), 0))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float | None = None, recall: float = 0.98) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for each row.
 
     th is a hash of the text, root the class's smallest fingerprint, component_id its
-    smallest doc_id.
-
-    With `similarity`, fingerprints have 256 bits, count a text's shingles once, and `radius` is not used: the radius
-    is the expected distance at that similarity and two standard deviations more.
+    smallest doc_id. With `similarity`, fingerprints have 256 bits, count a text's
+    shingles once, and `radius` is not used: candidates lie within the expected distance
+    at that similarity and two standard deviations, and `refined` decides.
     """
     spark = docs.sparkSession
     shared_folder(spark)
     words = 1
     if similarity is not None:
-        words, p = 4, differing(similarity)
-        radius = round(64 * words * p + 2 * math.sqrt(64 * words * p * (1 - p)))
+        words, radius = 4, radius_of(similarity, 4, 2.0)
     marked = fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), width, words, similarity is not None).drop("text").checkpoint()  # some 30 to 60 bytes a row
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     n = nodes.count()
     tables = pigeonhole_tables(n, radius) if similarity is None else random_tables(n, similarity, words, recall)
     found = components(linked(nodes, tables, words, radius, n))
+    if similarity is not None:
+        found = refined(docs, marked, found.checkpoint(), similarity, width)
     roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = roots.join(ids, "root").select("fp", "root", "component_id")
