@@ -23,6 +23,7 @@ Memory in a worker is bounded by one sub-batch and two bounded caches.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ TEXT_LEAF, MERGE_LEAF = 4096, 24
 #: Characters after a match's start that can decide the match: an apostrophe and two letters.
 LOOKAHEAD = 3
 #: Entries of the caches in a worker.
-CACHE = 400_000
+CACHE = 600_000
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,12 +49,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Pieces(dict):
+    """Ids of matches, made when missing. Of two generations the older one goes when the newer is full."""
+
+    def __init__(self, make, most: int = CACHE):
+        self.make, self.most, self.older = make, most // 2, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """The encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = Pieces(self.encode_piece)
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         size = max(ranks.values()) + 1
         lengths = np.zeros(size, np.int64)
@@ -67,17 +87,19 @@ class Codec:
     # merging inside one match
     def _merge(self, data: bytes) -> list[bytes]:
         """Tokens of a short byte string: the lowest rank first, the leftmost of equals."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        parts, get = [data[i : i + 1] for i in range(len(data))], self.ranks.get
+        pairs = [get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], NEVER)
         return parts
 
     def _stable(self, a: bytes, b: bytes) -> bool:
@@ -112,7 +134,7 @@ class Codec:
         """Ids of one match as int32 bytes."""
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(data)
-        return np.array([whole] if whole is not None else [self.ranks[t] for t in self.merge_tree(data)], np.int32).tobytes()
+        return array("i", [whole] if whole is not None else [self.ranks[t] for t in self.merge_tree(data)]).tobytes()
 
     # cutting a text into matches
     def cut_tree(self, text: str, lo: int = 0, hi: int | None = None) -> list[str]:
@@ -154,21 +176,8 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as int32 bytes."""
-        known, cuts = self._pieces, self.cut_tree(text)
-        try:
-            return b"".join([known[p] for p in cuts])
-        except KeyError:
-            if len(known) >= CACHE:
-                known.clear()
-            found = []
-            for p in cuts:
-                ids = known.get(p)
-                if ids is None:
-                    ids = self.encode_piece(p)
-                    if len(p) <= 64 and len(known) < CACHE:
-                        known[p] = ids
-                found.append(ids)
-            return b"".join(found)
+        known = self._pieces
+        return b"".join([known[p] for p in self.cut_tree(text)])
 
     def decode(self, ids: np.ndarray, leaf: int = 1 << 16) -> bytes:
         """Bytes of ids: those of the halves, one after the other."""
