@@ -151,7 +151,10 @@ def learn(values: np.ndarray, rejected: np.ndarray, names: list[str], min_precis
         p, n = int((hit & rejected).sum()), int((hit & ~rejected).sum())
         if p < min_covered or p / (p + n) < min_precision or worth(conditions) < 2 * min_precision - 1:
             break
-        rules.append(Rule(tuple(Condition(names[k], above, cut) for k, above, cut in conditions), False, p + n, p / (p + n)))
+        tightest: dict[tuple[int, bool], float] = {}
+        for k, above, cut in conditions:
+            tightest[k, above] = (max if above else min)(cut, tightest.get((k, above), cut))
+        rules.append(Rule(tuple(Condition(names[k], above, cut) for (k, above), cut in tightest.items()), False, p + n, p / (p + n)))
         left &= ~hit
     return rules
 
