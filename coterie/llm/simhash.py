@@ -369,7 +369,8 @@ def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity:
     for one document of each fingerprint in a class with others.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
-    one = marked.join(classes, marked["fp"] == classes["node"]).groupBy("fp", "root").agg(F.min(rank).alias("r"))
+    # copies shrink to a row before the join
+    one = marked.groupBy("fp").agg(F.min(rank).alias("r")).join(classes.withColumnRenamed("node", "fp"), "fp")
     one = one.select("fp", "root", F.col("r.none").alias("none"), F.col("r.id").alias("id"), F.col("r.th").alias("th"))
     texts = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
     met = texts.join(one, ["none", "id", "th"]).select("fp", F.xxhash64("root").alias("key"), "text")
