@@ -87,7 +87,7 @@ def fingerprints_of(texts: list[bytes], width: int, words: int = 1, once: bool =
         counts[i] = len(found)
     hashed, ends = np.array(hashes, np.uint64), np.cumsum(counts)
     out = np.zeros((len(texts), words), np.uint64)
-    at, lot = 0, 400_000 // words  # shingles whose bits are held at once
+    at, lot = 0, 200_000 // words  # shingles whose bits are held at once
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + lot, "right")))
         lo, hi = (int(ends[at - 1]) if at else 0), int(ends[to - 1])
@@ -126,7 +126,7 @@ def fingerprints(df: DataFrame, width: int = 5, words: int = 1, once: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sub_batches(batch, text, 2 << 20):
+            for part in sub_batches(batch, text, 1 << 20):
                 found = fingerprints_of(bytes_list(part.column(part.schema.get_field_index(text))), width, words, once)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), to_binary(found)], [*kept, name])
 
