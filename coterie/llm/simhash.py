@@ -14,8 +14,10 @@ Candidates meet in the buckets of tables, each keyed by some of the bits:
   radius follows from the angle that belongs to the similarity, and tables draw
   their bits at random: as many tables as find a pair of just that similarity with
   probability `recall`; nearer pairs are found more surely, and a class needs only
-  some of its pairs. What they link is compared again, class by class, in fingerprints
-  of 2048 bits at a sharper radius.
+  some of its pairs. Within the classes so found, fingerprints of 2048 bits pass over
+  pairs far below the similarity, and every other pair is decided by the Jaccard
+  similarity of its two sets of shingles (by their 64-bit hashes), unless other links
+  join it already.
 
 Inside a bucket, fingerprints are stored as bit planes, 64 of them in a machine
 word. A chunk of queries is compared with a whole block at once: planes of
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -108,6 +111,30 @@ def fingerprints_of(texts: list[bytes], width: int, words: int = 1, once: bool =
     return out
 
 
+class Shingles:
+    """The sets of distinct shingle hashes of a group's texts, each made when it is first asked for."""
+
+    def __init__(self, texts: list[bytes], width: int, similarity: float):
+        self.texts, self.width, self.least, self.sets = texts, width, Fraction(str(similarity)), {}
+
+    def of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = np.unique(np.array(shingle_hashes(self.texts[i].lower().split(), self.width), np.uint64))
+        return self.sets[i]
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether each pair's common shingles are at least the given share of all of the two; two empty sets are equal."""
+        out = np.zeros(len(i), bool)
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            a, b = self.of(x), self.of(y)
+            if min(len(a), len(b)) * self.least.denominator < max(len(a), len(b)) * self.least.numerator:
+                continue
+            both = np.sort(np.concatenate([a, b]))
+            common = int((both[1:] == both[:-1]).sum())
+            out[k] = common * self.least.denominator >= (len(both) - common) * self.least.numerator
+        return out
+
+
 def to_binary(fps: np.ndarray) -> pa.Array:
     """Fingerprints as big-endian bytes."""
     n, words = fps.shape
@@ -223,8 +250,11 @@ class Forest:
         return left, right
 
 
-def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int = 1024, chunk: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links among distinct fingerprints (rows of members), as row numbers; compares all pairs."""
+def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int = 1024, chunk: int = 128, similar=None, lot: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links among fingerprints (rows of members), as row numbers; compares all pairs.
+
+    similar(i, j), if given, decides the pairs within the radius that nothing links yet, up to `lot` at a time.
+    """
     forest, left, right = Forest(len(members)), [], []
     for lo in range(0, len(members), block):
         stored = planes(bits_of(members[lo : lo + block]))
@@ -234,9 +264,19 @@ def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int
             keep = i < j
             i, j = i[keep], j[keep]
             keep = np.bitwise_count(members[i] ^ members[j]).sum(axis=1) <= radius
-            a, b = forest.add(i[keep], j[keep])
-            left += a
-            right += b
+            i, j = i[keep], j[keep]
+            while len(i):
+                n = len(i) if similar is None else lot
+                now, then = i[:n], j[:n]
+                if similar is not None:
+                    sure = similar(now, then)
+                    now, then = now[sure], then[sure]
+                a, b = forest.add(now, then)
+                left += a
+                right += b
+                i, j = i[n:], j[n:]
+                apart = forest.label[i] != forest.label[j]
+                i, j = i[apart], j[apart]
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
@@ -289,14 +329,16 @@ def linked(fps: DataFrame, tables: list[np.ndarray], words: int, radius: int, ro
     return within_buckets(keyed, outside, words, radius, rows * len(tables), bucket_rows)
 
 
-def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, bucket_rows: int = 4096) -> DataFrame:
+def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, bucket_rows: int = 4096, similarity: float = 0.0, width: int = 0) -> DataFrame:
     """Links (a, b) that span every class within each bucket (t, key) of keyed.
 
     keyed has the columns fp (binary, the fingerprint's name), t, key and, if that is
     not fp itself, print (binary, what is compared). orders: for each t the order in
-    which bits are compared.
+    which bits are compared. With a column text, pairs within the radius link only if
+    the texts' shingles of `width` words have the similarity.
     """
-    more = ["print"] if "print" in keyed.columns else []
+    more = [c for c in ("print", "text") if c in keyed.columns]
+    exact = "text" in more
     large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     parts = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
@@ -308,10 +350,11 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
     dealt = groups.repartition(parts_n, "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(members: list[tuple[np.ndarray, list[bytes]]], t: int):
-            prints = np.concatenate([p for p, _ in members])
-            names = [x for _, own in members for x in own]
-            a, b = links_within(prints, radius, orders[t])
+        def emit(members: list[tuple[np.ndarray, list[bytes], list[bytes]]], t: int):
+            prints = np.concatenate([p for p, _, _ in members])
+            names = [x for _, own, _ in members for x in own]
+            sets = Shingles([x for _, _, own in members for x in own], width, similarity) if exact else None
+            a, b = links_within(prints, radius, orders[t], similar=sets.similar if exact else None)
             apart = [(names[i], names[j]) for i, j in zip(a.tolist(), b.tolist()) if names[i] != names[j]]
             if apart:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in apart], pa.binary()), pa.array([y for _, y in apart], pa.binary())], ["a", "b"])
@@ -320,7 +363,7 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if sum(x.num_rows for x in held) >= 1 << 15:
+                if sum(x.num_rows for x in held) >= 1 << 15 or sum(x.nbytes for x in held) >= 32 << 20:
                     held = yield from cut_runs(held, emit, False)
         if held:
             yield from cut_runs(held, emit, True)
@@ -337,7 +380,7 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
             starts, ends, rest = starts[:-1], ends[:-1], int(starts[-1])
         else:
             rest = data.num_rows
-        room: list[tuple[np.ndarray, list[bytes]]] = []
+        room: list[tuple[np.ndarray, list[bytes], list[bytes]]] = []
         have, now = 0, -1
         for i, j in zip(starts.tolist(), ends.tolist()):
             if j - i < 2:
@@ -348,7 +391,7 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
                 yield from emit(room, now)
                 room, have = [], 0
             own = data.slice(i, j - i)
-            room.append((from_binary(own.column("print" if more else "fp"), words), own.column("fp").to_pylist()))
+            room.append((from_binary(own.column("print" if more else "fp"), words), own.column("fp").to_pylist(), bytes_list(own.column("text")) if exact else []))
             have, now = have + j - i, t
         if room:
             yield from emit(room, now)
@@ -363,36 +406,39 @@ def radius_of(similarity: float, words: int, deviations: float) -> int:
 
 
 def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity: float, width: int, words: int = 32) -> DataFrame:
-    """(node, root) of the classes that stand at fingerprints of 64 * words bits, within the classes found with fewer.
+    """(node, root) of the classes that stand when pairs of the classes found are decided by their sets of shingles.
 
-    So wide a fingerprint tells similarities a few hundredths apart; it is only made
-    for one document of each fingerprint in a class with others.
+    Fingerprints of 64 * words bits pass over pairs beyond five standard deviations of
+    the distance at the similarity; a class of many templates would be slow without. Each
+    text of a fingerprint in a class with others takes part once.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
     # copies shrink to a row before the join
-    one = marked.groupBy("fp").agg(F.min(rank).alias("r")).join(classes.withColumnRenamed("node", "fp"), "fp")
-    one = one.select("fp", "root", F.col("r.none").alias("none"), F.col("r.id").alias("id"), F.col("r.th").alias("th"))
+    one = marked.groupBy("fp", "th").agg(F.min(rank).alias("r")).join(classes.withColumnRenamed("node", "fp"), "fp")
+    one = one.select("fp", "root", F.col("r.none").alias("none"), F.col("r.id").alias("id"), "th")
     texts = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    met = texts.join(one, ["none", "id", "th"]).select("fp", F.xxhash64("root").alias("key"), "text")
-    wide = fingerprints(met, width, words, True, name="print").drop("text").checkpoint()
-    keyed = wide.dropDuplicates(["fp"]).select("fp", "print", F.lit(0).alias("t"), "key")
+    met = texts.join(one, ["none", "id", "th"]).select("fp", "th", F.xxhash64("root").alias("key"), "text")
+    wide = fingerprints(met, width, words, True, name="print").checkpoint()
+    keyed = wide.dropDuplicates(["fp", "th"]).select("fp", "print", F.lit(0).alias("t"), "key", "text")
     order = np.random.default_rng(5).permutation(64 * words)
-    return components(within_buckets(keyed, [order], words, radius_of(similarity, words, 1.0), 0))
+    return components(within_buckets(keyed, [order], words, radius_of(similarity, words, 5.0), 0, similarity=similarity, width=width))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float | None = None, recall: float = 0.98) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float | None = None, recall: float = 0.995) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for each row.
 
     th is a hash of the text, root the class's smallest fingerprint, component_id its
     smallest doc_id. With `similarity`, fingerprints have 256 bits, count a text's
     shingles once, and `radius` is not used: candidates lie within the expected distance
-    at that similarity and two standard deviations, and `refined` decides.
+    at that similarity and three standard deviations, and `refined` decides. A lone pair of
+    just the similarity is found with probability recall x 0.998, nearer ones more surely; only
+    what has it links.
     """
     spark = docs.sparkSession
     shared_folder(spark)
     words = 1
     if similarity is not None:
-        words, radius = 4, radius_of(similarity, 4, 2.0)
+        words, radius = 4, radius_of(similarity, 4, 3.0)
     marked = fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), width, words, similarity is not None).drop("text").checkpoint()  # some 30 to 60 bytes a row
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     n = nodes.count()

@@ -235,6 +235,46 @@ def test_near_copies_by_similarity(spark):
     assert all(classes[2000 + i] == 2000 + i and classes[i] == i for i in range(150))  # a half in common is not a copy
 
 
+def test_similarity_is_decided_exactly(spark):
+    rng = random.Random(21)
+    rows, similar = [], {}
+    for i in range(300):
+        w = ["w%d" % rng.randint(0, 1 << 30) for _ in range(404)]
+        # runs of changed words: 400 shingles, n + 4 of them changed, (396 - n) / (404 + n) in common
+        n, at = (40, 41, 44, 50)[i % 4], rng.randint(4, 300)
+        v = w[:at] + ["c%d" % rng.randint(0, 1 << 30) for _ in range(n)] + w[at + n :]
+        sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w, v)]
+        similar[i] = (len(sets[0] & sets[1]), len(sets[0] | sets[1]))
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), similarity=0.8).collect()}
+    near = [i for i, (both, all_) in similar.items() if 10 * both >= 8 * all_]
+    assert len(near) == 75 and sum(classes[1000 + i] == i for i in near) >= 73
+    assert all(classes[1000 + i] == 1000 + i for i in similar if i not in near)
+
+
+@pytest.mark.parametrize("lot", [1, 7, 256])
+def test_exact_links_of_chains(lot):
+    # what lies within the radius but is not similar must not hide links that are
+    rng = random.Random(22)
+    bases = [["b%d_%d" % (k, i) for i in range(80)] for k in range(6)]
+    texts = []
+    for i in range(120):
+        w = list(bases[i % 6])
+        for k in rng.sample(range(80), rng.randint(0, 4)):
+            w[k] = "c%d" % rng.randint(0, 1 << 30)
+        texts.append(" ".join(w).encode())
+    prints = simhash.fingerprints_of(texts, 5, 32, True)
+    sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (t.split() for t in texts)]
+    a, b = simhash.links_within(prints, 2048, np.arange(2048), block=64, chunk=16, similar=simhash.Shingles(texts, 5, 0.8).similar, lot=lot)
+    got, want = list(range(120)), list(range(120))
+    pairs = [(i, j) for i in range(120) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    for label, links in ((got, zip(a.tolist(), b.tolist())), (want, pairs)):
+        for i, j in links:
+            x, y = label[i], label[j]
+            label[:] = [min(x, y) if v in (x, y) else v for v in label]
+    assert 6 < len(set(want)) < 100 and got == want
+
+
 def test_keep_one(spark):
     rows = odd_rows()
     kept = simhash.keep_one(table(spark, rows))
