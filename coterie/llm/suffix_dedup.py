@@ -9,7 +9,8 @@ put into suffix order by prefix-free parsing (`prefix_free`), where equal window
 stand next to each other, and all but the earliest of each are marked.
 
 Order of documents: by doc_id, a null first; then by the text's hash. Rows that
-share doc_id and text count as one document. A null or empty text keeps nothing
+share doc_id and text count as one document: what an earlier one has goes from each of
+them, and nothing goes because they repeat each other. A null or empty text keeps nothing
 and loses nothing; texts below the window are kept whole. Extra columns with names
 of the result's are replaced.
 """
@@ -64,8 +65,7 @@ class Contexts:
         text = np.concatenate([t for _, t in self.held])
         self.held, self.size = [], 0
         anchor, a, b, doc, th, pos, size = columns
-        keep = earliest(a, b, doc, th, pos)
-        drop = ~keep
+        keep, drop = earliest(a, b, doc, th, pos)
         yield from settled_rows(doc[drop], th[drop], pos[drop], size[drop] - self.window + 1, self.n, NAMES)
         rows = np.flatnonzero(keep)
         begins = np.cumsum(size) - size
@@ -80,13 +80,20 @@ def ranges(text: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return text[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - size), size)]
 
 
-def earliest(a, b, doc, th, pos) -> np.ndarray:
-    """Marks the earliest row of each (a, b)."""
-    order = np.lexsort((pos, th, doc, b, a))
-    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(order) else np.zeros(0, bool)
-    out = np.zeros(len(a), bool)
-    out[order[new]] = True
-    return out
+def earliest(a, b, doc, th, pos) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the earliest row of each (a, b), and the rows that repeat it elsewhere.
+
+    A row with the same doc, th and pos is of an equal row of the table, which is the same
+    document: it is neither, as what holds for the earliest holds for it.
+    """
+    keep, drop = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    if len(a):
+        order = np.lexsort((pos, th, doc, b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        head = order[new][np.cumsum(new) - 1]
+        keep[order[new]] = True
+        drop[order] = (doc[order] != doc[head]) | (th[order] != th[head]) | (pos[order] != pos[head])
+    return keep, drop
 
 
 def _settle(parts: list[dict], window: int):
@@ -103,9 +110,9 @@ def _settle(parts: list[dict], window: int):
         own, z = ranges(text, begins[i], size[i]), size[i]
         at = np.cumsum(z) - z
         one, two = Rolling(own), Rolling(own, BASES[1])
-        keep = earliest(one.ranges(at, at + z), two.ranges(at, at + z), doc[i], th[i], pos[i])
+        keep, drop = earliest(one.ranges(at, at + z), two.ranges(at, at + z), doc[i], th[i], pos[i])
         if not keep.all():
-            copies = i[~keep]
+            copies = i[drop]
             yield doc[copies], th[copies], pos[copies], size[copies] - window + 1
             own, i = ranges(own, at[keep], z[keep]), i[keep]
             one, two = Rolling(own), Rolling(own, BASES[1])
@@ -136,9 +143,8 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             hi, own = last + window, owner[new]
             a, b = chunk.roll.ranges(lo, hi), Rolling(data, BASES[1]).ranges(lo, hi)
             doc, th, pos = ids.to_numpy()[own], ths.to_numpy()[own], (lo - chunk.begins[own]).astype(np.int32)
-            keep = earliest(a, b, doc, th, pos)
+            keep, drop = earliest(a, b, doc, th, pos)
             size = hi - lo
-            drop = ~keep
             if drop.any():  # copies within the chunk: only their places go on
                 settled.append((doc[drop], th[drop], pos[drop], size[drop] - window + 1))
             yield from out.add([x[keep] for x in (chunk.hashes[anchor[new]], a, b, doc, th, pos, size)], ranges(data, lo[keep], size[keep]))

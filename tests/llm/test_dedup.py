@@ -78,6 +78,19 @@ def test_suffix_dedup_edges(spark):
     assert 2 not in {r.doc_id for r in left.collect()}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_rows_are_one_document(spark, parts):
+    rng = random.Random(31)
+    long = lambda: "".join(rng.choice("abcdefgh ") for _ in range(400))
+    only, nulls, shared = long(), long(), long()
+    rows = [(50, only), (50, only), (None, nulls), (None, nulls), (60, shared), (60, shared), (61, "head " + shared), (61, "head " + shared), (70, "y" * 300), (70, "y" * 300)]
+    got = {}
+    for r in suffix_dedup.suffix_dedup(table(spark, rows).repartition(parts)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, bytes(r.kept).decode()))
+    assert got == {50: [(400, 0, only)] * 2, None: [(400, 0, nulls)] * 2, 60: [(400, 0, shared)] * 2, 61: [(405, 400, "head ")] * 2, 70: [(300, 299, "y")] * 2}
+    assert sorted(r.text for r in suffix_dedup.deduplicated(table(spark, rows).repartition(parts)).where("doc_id = 50").collect()) == [only] * 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_order(seed):
     rng = np.random.default_rng(seed)
