@@ -1,22 +1,27 @@
-"""Column functions over itemsets: canonical keys, immediate subsets, containment."""
+"""Column functions over itemsets: canonical arrays, their text, immediate subsets, containment.
+
+A set is its sorted array of items without repeats, and sets are grouped and joined by
+that array. The text of a set joins its items by blanks; it is for reading alone, as
+items may hold blanks themselves.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands between the items of a key; items must not contain it.
+#: Stands between the items in the text of a set.
 SEPARATOR = " "
 
 
-def key(items: Column) -> Column:
-    """The canonical key of a set: its sorted items, joined. Equal sets have equal keys."""
-    return F.array_join(F.array_sort(items.cast("array<string>")), SEPARATOR)
+def text(items: Column) -> Column:
+    """What is shown of a set: its items in their order, joined."""
+    return F.array_join(items.cast("array<string>"), SEPARATOR)
 
 
 def without_one(items: Column) -> Column:
-    """All subsets of a sorted array that lack one item, as keys."""
-    return F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: F.array_join(F.filter(items.cast("array<string>"), lambda x, j: j != i), SEPARATOR))
+    """All subsets of a sorted array that lack one item, sorted like it."""
+    return F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: F.filter(items, lambda x, j: j != i))
 
 
 def contains_all(items: Column, wanted: Column) -> Column:

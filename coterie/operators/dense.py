@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.itemsets import SEPARATOR
+from coterie.functions.itemsets import text
 from coterie.functions.session import shared_folder
 from coterie.operators.counting import checked, item_rank
 
@@ -95,4 +95,4 @@ def closed_sets(bk: DataFrame, count: int, task_rows: int = 20_000) -> DataFrame
         found = found.unionByName(part)
     named = found.withColumn("set", F.monotonically_increasing_id())
     rows = named.select("set", "support", "maximal", F.explode("items").alias("p")).join(places, "p").groupBy("set", "support", "maximal").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    return rows.select("items", F.array_join("items", SEPARATOR).alias("itemset"), F.size("items").alias("len"), "support", "maximal")
+    return rows.select("items", text(F.col("items")).alias("itemset"), F.size("items").alias("len"), "support", "maximal")

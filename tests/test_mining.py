@@ -132,3 +132,55 @@ def test_lines_round_trip(spark, tmp_path):
     report.write_lines(sets, str(tmp_path / "out"))
     back = report.read_lines(spark, str(tmp_path / "out"))
     assert as_dict(back) == as_dict(sets)
+
+
+def test_items_with_blanks(spark):
+    rows = [["Cream", "Ice"]] * 2 + [["Cream Ice"]] * 2 + [["Cream Ice", "Milk"]] * 2
+    bk = spark.createDataFrame(list(enumerate(rows)), "tid long, items array<string>")
+    fi = mining.mine(bk, 2)
+    sets = lambda df: {(tuple(r["items"]), r.support) for r in df.collect()}
+    assert sets(fi) == {(("Cream",), 2), (("Ice",), 2), (("Cream", "Ice"), 2), (("Cream Ice",), 4), (("Milk",), 2), (("Cream Ice", "Milk"), 2)}
+    assert sets(mining.closed(fi)) == {(("Cream", "Ice"), 2), (("Cream Ice",), 4), (("Cream Ice", "Milk"), 2)}
+    assert sets(mining.maximal(fi)) == {(("Cream", "Ice"), 2), (("Cream Ice", "Milk"), 2)}
+    found = dense.closed_sets(bk, 2)
+    assert sets(found) == sets(mining.closed(fi)) and sets(found.where("maximal")) == sets(mining.maximal(fi))
+    by = mining.maximal(fi).where(F.col("len") == 2).where(F.array_contains("items", "Milk"))
+    assert sets(mining.subsumed(fi, by)) == {(("Cream Ice",), 4), (("Milk",), 2), (("Cream Ice", "Milk"), 2)}
+    confidence = {(r.antecedent, r.consequent): r.confidence for r in rules.association_rules(fi, 6).collect()}
+    assert confidence == {("Cream", "Ice"): 1.0, ("Ice", "Cream"): 1.0, ("Cream Ice", "Milk"): 0.5, ("Milk", "Cream Ice"): 1.0}
+
+
+def test_paths_of_items_with_blanks(spark):
+    bk = spark.createDataFrame([(1, ["Ice Cream", "Milk"]), (2, ["Ice Cream", "Milk"]), (3, ["Ice Cream"])], "tid long, items array<string>")
+    t = tree.prefix_tree(counting.encoded(bk, counting.item_rank(bk, 1)))
+    assert {(r.itemset, r.len, r.support) for r in tree.path_power_set(t).collect()} == {("Ice Cream", 1, 3), ("Milk", 1, 2), ("Ice Cream Milk", 2, 2)}
+    assert {(r.itemset, r.len, r.support) for r in tree.single_path_closed(t).collect()} == {("Ice Cream", 1, 3), ("Ice Cream Milk", 2, 2)}
+
+
+def test_single_path_operators_refuse_other_trees(spark):
+    bk = table(spark, [[1, 2], [3]])
+    t = tree.prefix_tree(counting.encoded(bk, counting.item_rank(bk, 1)))
+    for operator in (tree.single_path_closed, tree.path_power_set):
+        with pytest.raises(Exception, match="not one path"):
+            operator(t).collect()
+        assert operator(t.where("false")).count() == 0
+
+
+def test_ranks_over_partitions(spark):
+    rng = random.Random(12)
+    rows = [(f"i{k:04}", rng.randint(1, 40)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "item string, support long").repartition(7)
+    got = [(r.item, r.support) for r in sorted(counting.ranked(df, *counting.by_support()).collect(), key=lambda r: r["rank"])]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert sorted(r["rank"] for r in counting.ranked(df, *counting.by_support()).collect()) == list(range(1, 2001))
+    assert counting.ranked(df.where("false"), *counting.by_support()).count() == 0
+
+
+def test_conditional_support_by_pairs(spark):
+    for rows, t in ((H1, 2), (H4, 2), (H2, 1)):
+        bk = table(spark, rows)
+        ranks, pairs = counting.item_rank(bk, t), counting.pair_support(bk)
+        coded = counting.encoded(bk, ranks).withColumn("items", F.col("items").cast("array<string>"))
+        for item in "12345":
+            want = {(r.item, r.support) for r in tree.conditional_support(tree.conditional_base(coded, item), t).collect()}
+            assert {(str(r.item), r.support) for r in counting.conditional_support_by_pairs(pairs, ranks, item, t).collect()} == want
