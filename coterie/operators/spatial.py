@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.itemsets import SEPARATOR
-from coterie.operators.counting import pairs_of
+
+#: Shares of the objects that meet a query without keywords one by one.
+SLOTS = 64
 
 
 def cells(objects: DataFrame, width: float, height: float) -> DataFrame:
@@ -38,14 +40,21 @@ def inverted_index(objects: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def keyword_query(objects: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
-    """(qid, id): objects with all, or any, of each query's keywords, by an equi-join on keywords and a count."""
-    asked = queries.select("qid", F.array_distinct("kw").alias("kw")).select("qid", F.size("kw").alias("need"), F.explode("kw").alias("word"))
-    met = objects.select("id", F.explode(F.array_distinct("kw")).alias("word")).join(asked, "word").groupBy("qid", "need", "id").agg(F.count(F.lit(1)).alias("have"))
+    """(qid, id): objects with all, or any, of each query's keywords, by an equi-join on keywords and a count.
+
+    In `all` mode a query without keywords has every object in its answer; those rows
+    come share by share of the objects, by an equi-join on the share.
+    """
+    if mode not in ("all", "any"):
+        raise ValueError("mode must be all or any")
+    asked = queries.select("qid", F.array_distinct(F.coalesce("kw", F.array().cast("array<string>"))).alias("kw"))
+    words = asked.select("qid", F.size("kw").alias("need"), F.explode("kw").alias("word"))
+    met = objects.select("id", F.explode(F.array_distinct("kw")).alias("word")).join(words, "word").groupBy("qid", "need", "id").agg(F.count(F.lit(1)).alias("have"))
     if mode == "any":
         return met.select("qid", "id")
-    if mode != "all":
-        raise ValueError("mode must be all or any")
-    return met.where(F.col("have") == F.col("need")).select("qid", "id")
+    every = asked.where(F.size("kw") == 0).select("qid", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    free = objects.select("id", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")).join(every, "slot").select("qid", "id")
+    return met.where(F.col("have") == F.col("need")).select("qid", "id").unionByName(free)
 
 
 def spatial_keyword_query(objects: DataFrame, queries: DataFrame, width: float, height: float, mode: str = "all") -> DataFrame:
@@ -55,8 +64,17 @@ def spatial_keyword_query(objects: DataFrame, queries: DataFrame, width: float,
     return inside.where(has).select("qid", "id")
 
 
-def frequent_pairs_index(objects: DataFrame, fi: DataFrame, block: int = 4096) -> DataFrame:
-    """(itemset, block, n): postings of frequent keyword pairs, ready for queries that name both."""
-    pairs = objects.select(F.floor(F.col("id") / block).alias("block"), F.explode(pairs_of(F.array_sort(F.array_distinct("kw")))).alias("p"))
-    pairs = pairs.select("block", F.concat_ws(SEPARATOR, "p.item_a", "p.item_b").alias("itemset"))
-    return pairs.join(fi.where(F.col("len") == 2).select("itemset"), "itemset", "left_semi").groupBy("itemset", "block").agg(F.count(F.lit(1)).alias("n"))
+def frequent_sets_index(objects: DataFrame, fi: DataFrame, block: int = 4096) -> DataFrame:
+    """(items, itemset, len, block, n, ids): postings of the frequent keyword sets of two or more, ready for queries that name all of one.
+
+    An equi-join on each set's rarest keyword, then the exact test, so that a set meets
+    only objects that have that keyword; ids come in blocks, as in inverted_index.
+    """
+    wanted = fi.where(F.col("len") >= 2)
+    often = fi.where(F.col("len") == 1).select(F.element_at("items", 1).alias("word"), F.col("support").alias("often"))
+    spread = wanted.select("items", F.explode("items").alias("word")).join(often, "word")
+    rare = spread.groupBy("items").agg(F.min(F.struct("often", "word")).alias("p")).select("items", F.col("p.word").alias("word"))
+    have = objects.select("id", F.array_distinct("kw").alias("kw")).select("id", "kw", F.explode("kw").alias("word"))
+    met = have.join(rare, "word").where(F.size(F.array_except("items", "kw")) == 0).select("items", F.floor(F.col("id") / block).alias("block"), "id")
+    lists = met.groupBy("items", "block").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("list"))
+    return lists.select("items", F.array_join("items", SEPARATOR).alias("itemset"), F.size("items").alias("len"), "block", "n", F.array_join(F.col("list").cast("array<string>"), SEPARATOR).alias("ids"))

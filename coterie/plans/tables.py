@@ -39,6 +39,17 @@ def cust_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(F.col("c_custkey").alias("tid"), items.alias("items"))
 
 
+def blank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's region and segment: as two items, as one item with a blank, or with the nation beside them."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    met = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    both, kind = F.concat_ws(" ", "c_mktsegment", "r_name"), F.pmod("c_custkey", F.lit(3))
+    items = F.when(kind == 0, F.array("r_name", "c_mktsegment")).when(kind == 1, F.array(both)).otherwise(F.array(both, F.concat(F.lit("of "), "n_name")))
+    return met.select(F.col("c_custkey").alias("tid"), F.array_sort(items).alias("items"))
+
+
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's event types."""
     return baskets(table(spark, sf_dir, "events").select(F.col("user_id").alias("tid"), F.col("event_type").alias("item")))
@@ -68,6 +79,8 @@ BOXES = [
     (3, 200_000.0, 2_500.0, 450_000.0, 9_000.0, ["Brand#4", "Brand#5"]),
 ]
 GRID = (25_000.0, 1_000.0)
+#: Of the layout by place: the plane, cells a side as a power of two, objects a leaf.
+BOUNDS, DEPTH, CAPACITY = (0.0, -1_000.0, 500_000.0, 10_000.0), 6, 200
 
 
 def box_queries(spark: SparkSession) -> DataFrame:

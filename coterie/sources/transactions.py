@@ -40,11 +40,42 @@ def parse_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Baskets (path, nth, items) of binary files; a file is one task, so large inputs come in many files."""
+    """Baskets (path, nth, items) of binary files.
+
+    Where a record begins is known from the one before alone, so a file is one task and
+    one row of at most 2 GB (a larger one raises); large inputs come in many files.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse_records, "path string, nth long, items array<bigint>")
 
 
+def _int32(value: Column) -> Column:
+    """The four bytes of an int, the lowest first."""
+    digits = F.lpad(F.hex(value.cast("long")), 8, "0")
+    digits = F.substring(digits, -8, 8)
+    return F.unhex(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
+
+
+def write_binary(bk: DataFrame, path: str) -> None:
+    """Writes baskets (items: arrays of ints from 0 to 2^31 - 1) as files that read_binary reads.
+
+    The text writer is what Spark has for bytes as they are; the byte that ends a line is the last of
+    a record. It is zero, as the smallest item goes last and must be below 2^24.
+    """
+    order = F.sort_array("items", asc=False)
+    fits = F.assert_true(F.coalesce(F.array_min("items"), F.lit(0)) < 1 << 24, F.lit("a basket needs an item below 2^24 or none"))
+    ints = F.concat(F.array(F.lit(0), F.lit(0), F.size("items")), order.cast("array<int>"))
+    # aggregate keeps the bytes in order without a function of Python
+    record = F.aggregate(ints, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, _int32(x)))
+    cut = F.substring(record, 1, F.length(record) - 1)
+    bk.select(F.when(fits.isNull(), cut).cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\0").text(path)
+
+
+def write_text(bk: DataFrame, path: str) -> None:
+    """Writes baskets as lines of items with blanks between them."""
+    bk.select(F.array_join(F.col("items").cast("array<string>"), " ").alias("value")).write.mode("overwrite").text(path)
+
+
 def baskets(pairs: DataFrame, tid: str = "tid", item: str = "item") -> DataFrame:
     """Baskets of a table of (tid, item): repeats and null items count once and not at all; a null tid is no basket."""
     known = pairs.where(F.col(tid).isNotNull())

@@ -10,3 +10,8 @@ def test_mines_a_file(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["13", "5", "6", "2"]
     assert report.read_lines(spark, str(tmp_path / "out")).count() == 14
     assert cli.main([str(tmp_path / "in.txt"), "0"]) == 1 and cli.main([]) == 1
+    for mode, counts in (("closed", ["9", "3", "4", "2"]), ("maximal", ["3", "0", "1", "2"])):
+        assert cli.main(["--mode", mode, str(tmp_path / "in.txt"), "2", str(tmp_path / mode)]) == 0
+        assert capsys.readouterr().out.split() == counts
+        assert report.read_lines(spark, str(tmp_path / mode)).where("len > 0").count() == int(counts[0])
+    assert cli.main([str(tmp_path / "in.txt"), "2", "--mode", "other"]) == 1 and cli.main([str(tmp_path / "in.txt"), "2", "--mode"]) == 1

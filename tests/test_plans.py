@@ -15,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["item_support", "pair_support", "parse_transactions", "conditional_base", "prefix_tree", "box_query", "keyword_all", "spatial_keyword", "inverted_index", "grid_cells", "closed_itemsets", "maximal_itemsets", "association_rules"])
+@pytest.mark.parametrize("name", ["item_support", "pair_support", "parse_transactions", "conditional_base", "prefix_tree", "box_query", "keyword_all", "spatial_keyword", "inverted_index", "grid_cells", "closed_itemsets", "maximal_itemsets", "association_rules", "frequent_sets_index", "conditional_support_by_pairs", "quadtree_leaves", "subsumed_sets"])
 def test_no_product_of_tables(spark, name):
     text = plan(QUERIES[name](spark, DATA))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython", text)
