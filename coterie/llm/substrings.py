@@ -1,12 +1,14 @@
 """Substring deduplication: words covered by a window of words found elsewhere too.
 
 `windows` has the method: a count-min prefilter over all documents, then exact
-grouping of the windows that it could not rule out. A window's key is 96 bits of
-two independent hashes of its words.
+grouping of the windows that it could not rule out. A window's key has 128 bits: two
+hashes of its words in order, each over its own 64 of the 128 bits that XXH3 gives for
+the bytes of a word, with a full mix at every step. Words are not compared again: among
+10^14 windows the chance that any two different ones share a key is below 10^-10.
 
 Edge cases: a null text has no words; documents shorter than the window lose
 nothing; a window found twice in one document counts; equal rows remove each
-other's windows, as they are two documents; extra columns are carried along.
+other's windows, as they are two documents; columns but doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -20,25 +22,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coterie.llm.common import documents, tidied
-from coterie.llm.windows import BASES, NO_ID, PLACES, RECORD, Chunk, Rolling, Sender, by_document, chunks, covered, flagged_windows, keyed, owners, partitions_of, repeated_anchors, word_units
+from coterie.llm.windows import NO_ID, PLACES, RECORD, Chunk, Sender, by_document, chunks, covered, flagged_windows, found_anchors, keyed, owners, partitions_for, places_of, text_bytes, window_keys, word_lanes, word_units
 
 WINDOW, GRAM = 35, 10
 
 
 def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """MARKS rows: starts of windows (in words) whose words also start elsewhere. docs: as from keyed()."""
-    n = partitions_of(docs)
-    flagged = docs.join(repeated_anchors(docs, word_units, window, gram), ["doc_id", "th"])
+    n = partitions_for(docs, text_bytes(docs))
+    flagged = docs.join(places_of(found_anchors(docs, word_units, window, gram, n), n), "th")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(n, True)
+        out = Sender(n)
         for texts, (ids, ths, places) in chunks(batches, ["doc_id", "th", "places"]):
-            data, sizes = word_units(texts)
-            chunk = Chunk(data, sizes, window, gram)
+            lanes, sizes = word_lanes(texts)
+            chunk = Chunk(lanes[:, 0].copy(), sizes, window, gram)
             hit = flagged_windows(chunk, places.to_pylist())
+            if not len(hit):
+                continue
             lo, owner = chunk.starts[hit], chunk.owner[hit]
-            second = (Rolling(data, BASES[1]).ranges(lo, lo + window) >> np.uint64(32)).astype(np.uint32)
-            yield from out.add(chunk.roll.ranges(lo, lo + window), second, ids.to_numpy()[owner], ths.to_numpy()[owner], (lo - chunk.begins[owner]).astype(np.int32))
+            key, key2 = (window_keys(lanes[:, k], window)[lo] for k in (0, 1))
+            yield from out.add(key, key2, ids.to_numpy()[owner], ths.to_numpy()[owner], (lo - chunk.begins[owner]).astype(np.int32))
         yield from out.flush()
 
     sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(tidied(send), RECORD)

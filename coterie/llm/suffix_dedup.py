@@ -1,14 +1,21 @@
 """Suffix-array dedup: bytes covered by a string of `window` bytes that starts earlier, too.
 
-Strings are compared across the whole corpus without ever bringing it together.
-`windows` finds the documents' places that can hold a repeated string: those whose
-anchor repeats. For each such anchor the text around it that holds its windows is
-cut out. Copies of one context settle at once (all but the earliest repeat), first
-within a task, then at the partition that owns the anchor; what is left there is
-put into suffix order by prefix-free parsing (`prefix_free`), where equal windows
-stand next to each other, and all but the earliest of each are marked.
-
-Order of documents: by doc_id, a null first; then by the text's hash. Rows that
+Prefix-free parsing at two levels, without ever bringing the corpus together. Above, the
+documents are parsed at their anchors (`windows`): for each anchor that repeats, the text
+around it that holds its windows is a phrase, its context. Equal contexts are one entry
+of the dictionary, found by two hashes and then compared byte by byte; all but the
+earliest of them are repeats whole, first within a task, then at the partition that owns
+the anchor. Below, that partition parses its dictionary again at rolling-hash triggers
+(`prefix_free`), where the suffix arrays of that dictionary and its parse combine into
+the order in which equal windows stand next to each other; all but the earliest of each
+are marked. Equal windows have equal anchors, so the orders of the partitions together
+say all that one order of the corpus would.
+
+An anchor with very many places (more than `hot`, and than a 2^20th of all anchors) would
+make one partition large. Its windows are phrases of their own, each owned by its own hash:
+the most that then meets in one place is what is equal, one row of it a task.
+
+Order of documents: by doc_id, a null first; then by the hash of doc_id and text. Rows that
 share doc_id and text count as one document: what an earlier one has goes from each of
 them, and nothing goes because they repeat each other. A null or empty text keeps nothing
 and loses nothing; texts below the window are kept whole. Extra columns with names
@@ -25,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import WORD, documents, tidied
+from coterie.llm.common import WORD, documents, shared_folder, tidied
 from coterie.llm.prefix_free import repeats
-from coterie.llm.windows import BASES, NO_ID, PLACE_NAMES, PLACES, Chunk, Rolling, by_document, by_slice, byte_units, chunks, covered, flagged_windows, keyed, packed, part_of, partitions_of, repeated_anchors
+from coterie.llm.windows import BASES, HOT, NO_ID, PLACE_NAMES, PLACES, Chunk, Rolling, by_document, by_slice, byte_units, chunks, covered, flagged_windows, found_anchors, keyed, packed, part_of, partitions_for, places_of, text_bytes
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts a task holds before it sends them, and of those an owner sorts at once.
 HELD, SORTED = 16 << 20, 1 << 20
+#: Places of an anchor above which its windows are owned one by one; no more than MOST_HOT anchors are.
+HOT_PLACES, MOST_HOT = 100_000, 1 << 20
 #: Contexts on their way to the owner of their anchor; their bytes are compressed. A null anchor: settled places.
 NAMES = ["anchor", "doc", "th", "pos", "sizes", "text"]
 CONTEXTS = "part int, anchor binary, doc binary, th binary, pos binary, sizes binary, text binary"
@@ -40,7 +49,7 @@ CODEC = "zstd"
 
 def settled_rows(doc, th, pos, lens, n: int, names: list[str]):
     """Rows with runs of marked starts for the partitions that gather them; other columns are null."""
-    for s, (d, t, p, z) in by_slice(part_of(doc, th, n), [doc, th, pos.astype(np.int32), lens.astype(np.int32)]):
+    for s, (d, t, p, z) in by_slice(part_of(th, n), [doc, th, pos.astype(np.int32), lens.astype(np.int32)]):
         by_name = {"doc": d, "th": t, "pos": p, "sizes": z, "lens": z}
         yield packed(s, names, [by_name.get(c) for c in names])
 
@@ -65,10 +74,10 @@ class Contexts:
         text = np.concatenate([t for _, t in self.held])
         self.held, self.size = [], 0
         anchor, a, b, doc, th, pos, size = columns
-        keep, drop = earliest(a, b, doc, th, pos)
+        begins = np.cumsum(size) - size
+        keep, drop = earliest(a, b, doc, th, pos, text, begins, size)
         yield from settled_rows(doc[drop], th[drop], pos[drop], size[drop] - self.window + 1, self.n, NAMES)
         rows = np.flatnonzero(keep)
-        begins = np.cumsum(size) - size
         for s, (i,) in by_slice((anchor[rows] % np.uint64(self.n)).astype(np.int64), [rows]):
             squeezed = np.frombuffer(pa.compress(ranges(text, begins[i], size[i]).tobytes(), CODEC, asbytes=True), np.uint8)
             yield packed(s, NAMES, (anchor[i], doc[i], th[i], pos[i], size[i].astype(np.int32), squeezed))
@@ -80,26 +89,38 @@ def ranges(text: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return text[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - size), size)]
 
 
-def earliest(a, b, doc, th, pos) -> tuple[np.ndarray, np.ndarray]:
-    """Marks the earliest row of each (a, b), and the rows that repeat it elsewhere.
+def earliest(a, b, doc, th, pos, text, begins, size) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the earliest row of each string, and the rows that repeat it elsewhere.
 
-    A row with the same doc, th and pos is of an equal row of the table, which is the same
-    document: it is neither, as what holds for the earliest holds for it.
+    a, b: two hashes of the string text[begins:begins + size], by which rows meet; a row is
+    a repeat if its bytes are those of the earliest row with its hashes, and stays for itself
+    if they are not. A row with the same doc, th and pos is of an equal row of the table,
+    which is the same document: it is neither, as what holds for the earliest holds for it.
     """
     keep, drop = np.zeros(len(a), bool), np.zeros(len(a), bool)
     if len(a):
         order = np.lexsort((pos, th, doc, b, a))
         new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-        head = order[new][np.cumsum(new) - 1]
+        head = np.empty(len(a), np.int64)
+        head[order] = order[new][np.cumsum(new) - 1]
         keep[order[new]] = True
-        drop[order] = (doc[order] != doc[head]) | (th[order] != th[head]) | (pos[order] != pos[head])
+        drop = (doc != doc[head]) | (th != th[head]) | (pos != pos[head])
+        some = np.flatnonzero(drop)
+        for at in range(0, len(some), 1 << 14):
+            i = some[at : at + (1 << 14)]
+            j = head[i]
+            same = size[i] == size[j]
+            i, j, unequal = i[same], j[same], i[~same]
+            differs = np.add.reduceat(ranges(text, begins[i], size[i]) != ranges(text, begins[j], size[j]), np.cumsum(size[i]) - size[i]) if len(i) else i
+            unequal = np.concatenate([unequal, i[differs > 0]])
+            drop[unequal], keep[unequal] = False, True
     return keep, drop
 
 
 def _settle(parts: list[dict], window: int):
     """(doc, th, start, windows) of the runs to mark among all contexts of a partition."""
     get = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in parts])
-    anchor, doc, th = get("anchor", np.uint64), get("doc", np.int64), get("th", np.int32)
+    anchor, doc, th = get("anchor", np.uint64), get("doc", np.int64), get("th", np.int64)
     pos, size = get("pos", np.int32).astype(np.int64), get("sizes", np.int32).astype(np.int64)
     text = np.frombuffer(b"".join(pa.decompress(p["text"], int(np.frombuffer(p["sizes"], np.int32).sum(dtype=np.int64)), CODEC, asbytes=True) for p in parts), np.uint8)
     parts.clear()
@@ -110,7 +131,7 @@ def _settle(parts: list[dict], window: int):
         own, z = ranges(text, begins[i], size[i]), size[i]
         at = np.cumsum(z) - z
         one, two = Rolling(own), Rolling(own, BASES[1])
-        keep, drop = earliest(one.ranges(at, at + z), two.ranges(at, at + z), doc[i], th[i], pos[i])
+        keep, drop = earliest(one.ranges(at, at + z), two.ranges(at, at + z), doc[i], th[i], pos[i], own, at, z)
         if not keep.all():
             copies = i[drop]
             yield doc[copies], th[copies], pos[copies], size[copies] - window + 1
@@ -124,10 +145,16 @@ def _settle(parts: list[dict], window: int):
         yield doc[row], th[row], pos[row] + inside[new], np.diff(np.concatenate([new, [len(s)]]))
 
 
-def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """MARKS rows: runs of starts (in bytes) whose window also starts earlier. docs: as from keyed()."""
-    n = partitions_of(docs)
-    flagged = docs.join(repeated_anchors(docs, byte_units, window, gram), ["doc_id", "th"])
+def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_PLACES) -> tuple[DataFrame, int]:
+    """The rows of CONTEXTS that go to the partitions which own them, and how many partitions there are. docs: as from keyed()."""
+    shared_folder(docs.sparkSession)
+    size = text_bytes(docs)
+    n = partitions_for(docs, size)
+    # no more than size anchors, so no more than MOST_HOT keys of 8 bytes are hot
+    found = found_anchors(docs, byte_units, window, gram, n, max(hot, size // MOST_HOT)).checkpoint()
+    hottest = [np.frombuffer(r["th"], np.uint64) for r in found.where(F.col("part") == HOT).select("th").collect()]
+    great = docs.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(hottest)) if hottest else np.zeros(0, np.uint64))
+    flagged = docs.join(places_of(found.where(F.col("part") != HOT), n), "th")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, settled = Contexts(n, window), []
@@ -138,20 +165,29 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             if not len(hit):
                 continue
             start, anchor, owner = chunk.starts[hit], chunk.anchor[hit], chunk.owner[hit]
-            new = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+            own_key = np.isin(chunk.hashes[anchor], great.value) if len(great.value) else np.zeros(len(anchor), bool)
+            new = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]) | own_key)
             lo, last = start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
             hi, own = last + window, owner[new]
             a, b = chunk.roll.ranges(lo, hi), Rolling(data, BASES[1]).ranges(lo, hi)
             doc, th, pos = ids.to_numpy()[own], ths.to_numpy()[own], (lo - chunk.begins[own]).astype(np.int32)
-            keep, drop = earliest(a, b, doc, th, pos)
             size = hi - lo
+            keep, drop = earliest(a, b, doc, th, pos, data, lo, size)
+            key = np.where(own_key[new], a, chunk.hashes[anchor[new]])
             if drop.any():  # copies within the chunk: only their places go on
                 settled.append((doc[drop], th[drop], pos[drop], size[drop] - window + 1))
-            yield from out.add([x[keep] for x in (chunk.hashes[anchor[new]], a, b, doc, th, pos, size)], ranges(data, lo[keep], size[keep]))
+            yield from out.add([x[keep] for x in (key, a, b, doc, th, pos, size)], ranges(data, lo[keep], size[keep]))
         yield from out.flush()
         if settled:
             yield from settled_rows(*(np.concatenate(x) for x in zip(*settled)), n, NAMES)
 
+    return flagged.select("doc_id", "th", "text", "places").mapInArrow(tidied(send), CONTEXTS), n
+
+
+def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_PLACES) -> DataFrame:
+    """MARKS rows: runs of starts (in bytes) whose window also starts earlier. docs: as from keyed()."""
+    sent, n = contexts(docs, window, gram, hot)
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
@@ -165,18 +201,17 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             found = list(_settle(held, window))
             yield from settled_rows(*(np.concatenate(x) for x in zip(*found)), n, PLACE_NAMES)
 
-    sent = flagged.select("doc_id", "th", "text", "places").mapInArrow(tidied(send), CONTEXTS)
     return by_document(sent.repartitionById(n, "part").mapInArrow(tidied(own), PLACES), n)
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carried: tuple[str, ...] = (), as_text: bool = False, hot: int = HOT_PLACES) -> DataFrame:
     """(doc_id, the carried columns, n_bytes, n_removed, n_spans, kept): kept has the bytes left (binary).
 
     as_text: kept is a string, without characters that were cut in two. Carried columns must
     not have the names of the others.
     """
     own = keyed(docs, carried)
-    marks = marked_windows(own.select("doc_id", "th", "text"), window, gram)
+    marks = marked_windows(own.select("doc_id", "th", "text"), window, gram, hot)
     marked = own.join(marks, ["doc_id", "th"], "left")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coterie.llm.common import bytes_list, documents, held_out, sub_batches, table
-from coterie.llm.windows import BASES, Rolling, word_places
+from coterie.llm.windows import word_hashes, word_places
 
 WIDTH, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 8
@@ -48,8 +48,9 @@ class Words:
     """The distinct words of some texts as inputs: word bucket, trigram buckets and where they begin."""
 
     def __init__(self, texts: list[bytes]):
-        joined, lo, hi, self.sizes = word_places([t.lower() for t in texts])
-        hashes = Rolling(joined, BASES[2]).ranges(lo, hi)
+        lowered = [t.lower() for t in texts]
+        joined, lo, hi, self.sizes = word_places(lowered)
+        hashes = word_hashes([w for t in lowered for w in t.split()])[:, 0]
         self.hashes, at, self.index = np.unique(hashes, return_index=True, return_inverse=True)
         lo, hi = lo[at], hi[at]
         room = hi - lo

@@ -12,10 +12,15 @@ overestimates, and groups exactly only what the sketch has at two or more.
 Pass two looks again at the documents with a repeated anchor, and only at the
 windows that hold one.
 
-Documents are named by (doc_id, hash of the text): rows that share a doc_id but
-not a text stay apart, equal rows get the same answer. A null doc_id counts as the
-smallest number. Memory in a task is some arrays over one chunk of text (or one
-longer document) and the anchors of what it has read, flushed at a bound.
+Documents are named by 64 bits of doc_id and text, and in pass two by doc_id as well:
+rows that share a doc_id but not a text stay apart, equal rows get the same answer. In
+pass one two documents with one name would only be looked at more closely than needed.
+A null doc_id counts as the smallest number, -2^63 (a row that has that number as its
+doc_id is taken for one without).
+
+Partitions follow the bytes of text (one for each `PART_BYTES` at least), so what a task
+holds has a bound: some arrays over one chunk of text (or one longer document), the
+anchors of what it has read, flushed at a bound, and the share of a partition.
 """
 
 from __future__ import annotations
@@ -24,19 +29,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.llm.common import bytes_list, sub_batches, tidied
 
 CHUNK, FLUSH = 1 << 19, 3_000_000
+#: Text for each partition that owns keys.
+PART_BYTES = 32 << 20
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
 NO_ID = -(1 << 63)
 #: What tasks send to the partition `part`: keys with their places, or places known to repeat (key null).
+#: Beside the keys of pass one, lens has (row, times) of those that were there more than once.
 RECORD = "part int, key binary, key2 binary, doc binary, th binary, pos binary, lens binary"
 #: Places on their way to the partition that has all of a document's, and those of one document.
 PLACES = "part int, doc binary, th binary, pos binary, lens binary"
-MARKS = "doc_id long, th int, starts binary, lens binary"
+MARKS = "doc_id long, th long, starts binary, lens binary"
+#: The part of rows that hold keys of very many places.
+HOT = -1
 
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -137,9 +148,55 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return joined, lo, hi, np.diff(np.searchsorted(lo, ends), prepend=0)
 
 
+class Digests(dict):
+    """128 bits of each word (XXH3), made when missing; long words are not kept, and all go when there are many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = xxhash.xxh3_128_digest(word)
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_DIGESTS = Digests()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """(words, 2): two independent hashes of each word's bytes."""
+    return np.frombuffer(b"".join([_DIGESTS[w] for w in words]), np.uint64).reshape(-1, 2)
+
+
+def word_lanes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of all words of the texts, and how many each text has."""
+    words = [t.split() for t in texts]  # bytes are split at the six ASCII white-space bytes
+    return word_hashes([w for own in words for w in own]), np.fromiter(map(len, words), np.int64, len(words))
+
+
 def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    joined, lo, hi, sizes = word_places(texts)
-    return Rolling(joined, BASES[2]).ranges(lo, hi), sizes
+    lanes, sizes = word_lanes(texts)
+    return lanes[:, 0].copy(), sizes
+
+
+def _blended(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(BASES[0]) + b * np.uint64(BASES[2])
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(BASES[1])
+    return x ^ (x >> np.uint64(32))
+
+
+def window_keys(units: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the units of each window: runs of 1, 2, 4, ... units are blended pair by pair, the last two overlapping.
+
+    Each step is a full mix, so no arrangement of units cancels out, as it can in a sum of powers.
+    """
+    span, out = 1, units
+    while 2 * span <= window:
+        out = _blended(out[: max(0, len(out) - span)], out[span:])
+        span *= 2
+    rest = window - span
+    return _blended(out[: max(0, len(out) - rest)], out[rest:]) if rest else out
 
 
 def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]):
@@ -151,8 +208,8 @@ def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]):
 
 
 def keyed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The columns doc_id (null: NO_ID), th and text, by which documents are found again, and those carried."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("th"), "text", *carried)
+    """The columns doc_id (null: NO_ID), th (of doc_id and text) and text, by which documents are found again, and those carried."""
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("th"), "text", *carried)
 
 
 def by_slice(slices: np.ndarray, columns: list[np.ndarray]):
@@ -164,9 +221,9 @@ def by_slice(slices: np.ndarray, columns: list[np.ndarray]):
         yield int(slices[at[0]]), [c[at] for c in columns]
 
 
-def part_of(doc: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
+def part_of(th: np.ndarray, n: int) -> np.ndarray:
     """The partition, of n, that gathers a document's places; rows with one id are spread by their texts."""
-    return (finished(doc.view(np.uint64) + th.astype(np.uint64) * np.uint64(BASES[1])) % np.uint64(n)).astype(np.int64)
+    return (finished(th.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
 def packed(part: int, names: list[str], columns) -> pa.RecordBatch:
@@ -176,44 +233,52 @@ def packed(part: int, names: list[str], columns) -> pa.RecordBatch:
 RECORD_NAMES, PLACE_NAMES = ["key", "key2", "doc", "th", "pos", "lens"], ["doc", "th", "pos", "lens"]
 
 
-def first_of_keys(key: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a row of each key, whether each row's key is there twice or more)."""
-    order = np.lexsort((key2, key))
-    a, b = key[order], key2[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
+def first_of_keys(key: np.ndarray, key2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each key, how often each row's key is there)."""
+    order = np.lexsort((key,) if key2 is None else (key2, key))
+    a = key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = a[1:] != a[:-1]
+    if key2 is not None:
+        new[1:] |= key2[order][1:] != key2[order][:-1]
     group = np.cumsum(new) - 1
-    many = np.zeros(len(key), bool)
-    many[order] = (np.bincount(group) > 1)[group] if len(order) else False
-    return order[new], many
+    times = np.empty(len(key), np.int64)
+    times[order] = np.bincount(group)[group] if len(order) else 0
+    return order[new], times
 
 
 class Sender:
-    """Collects (key, key2, document, place) of a task and makes rows for the owners.
+    """Collects (key, key2, document, th, place) of a task and makes rows for the owners; key2 and document may be None.
 
     Keys met twice here are settled here: their places go on without a key, and
-    one of them with it, so that no owner gets more than one row of a key and task.
+    one of them with it, so that no owner gets more than one row of a key and flush.
     """
 
-    def __init__(self, n: int, second: bool):
-        self.n, self.second, self.held, self.size = n, second, [], 0
+    def __init__(self, n: int):
+        self.n, self.held, self.size = n, [], 0
 
-    def add(self, key, key2, doc, th, pos):
-        self.held.append((key, key2, doc, th, pos))
-        self.size += len(key)
+    def add(self, *columns):
+        self.held.append(columns)
+        self.size += len(columns[0])
         if self.size >= FLUSH:
             yield from self.flush()
 
     def flush(self):
         if not self.size:
             return
-        key, key2, doc, th, pos = (np.concatenate(x) for x in zip(*self.held))
+        key, key2, doc, th, pos = (None if x[0] is None else np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        first, many = first_of_keys(key, key2)
+        first, times = first_of_keys(key, key2)
         first.sort()
-        for s, (k, k2, d, t, p) in by_slice((key[first] % np.uint64(self.n)).astype(np.int64), [key[first], key2[first], doc[first], th[first], pos[first]]):
-            yield packed(s, RECORD_NAMES, (k, k2 if self.second else None, d, t, p, None))
-        for s, (d, t, p) in by_slice(part_of(doc[many], th[many], self.n), [doc[many], th[many], pos[many]]):
-            yield packed(s, RECORD_NAMES, (None, None, d, t, p, None))
+        picked = [key[first], key2 if key2 is None else key2[first], doc if doc is None else doc[first], th[first], pos[first], times[first].astype(np.int32)]
+        for s, (i,) in by_slice((picked[0] % np.uint64(self.n)).astype(np.int64), [np.arange(len(first))]):
+            own = [x if x is None else x[i] for x in picked]
+            often = np.flatnonzero(own[5] > 1).astype(np.int32)
+            own[5] = np.stack([often, own[5][often]], axis=1) if len(often) else None
+            yield packed(s, RECORD_NAMES, own)
+        many = times > 1
+        for s, (i,) in by_slice(part_of(th[many], self.n), [np.flatnonzero(many)]):
+            yield packed(s, RECORD_NAMES, (None, None, doc if doc is None else doc[i], th[i], pos[i], None))
 
 
 class Sketch:
@@ -249,19 +314,25 @@ def per_document(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, lens: np.ndar
     yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(th[new]), *(pa.array([x[i:j].tobytes() for i, j in zip(new.tolist(), ends)], pa.binary()) for x in (pos, lens))], ["doc_id", "th", "starts", "lens"])
 
 
-def owners(n: int):
-    """For mapInArrow: PLACES of the keys that are there twice or more, among all that a partition owns."""
+def owners(n: int, hot: int = 0):
+    """For mapInArrow: PLACES of the keys that are there twice or more, among all that a partition owns.
+
+    hot: keys of more places than that go out as well, in a row of the part HOT.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = []
+        sent, often = [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["key"] is None:
                     yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("part", *PLACE_NAMES)}], schema=PLACES_ARROW)
                     continue
-                key = np.frombuffer(row["key"], np.uint64)
-                key2 = np.frombuffer(row["key2"], np.uint32) if row["key2"] is not None else np.zeros(len(key), np.uint32)
-                sent.append((key, key2, np.frombuffer(row["doc"], np.int64), np.frombuffer(row["th"], np.int32), np.frombuffer(row["pos"], np.int32)))
+                get = lambda name, kind: None if row[name] is None else np.frombuffer(row[name], kind)  # noqa: B023, E731
+                part = (get("key", np.uint64), get("key2", np.uint64), get("doc", np.int64), get("th", np.int64), get("pos", np.int32))
+                sent.append(part)
+                if hot and row["lens"] is not None:
+                    at, times = get("lens", np.int32).reshape(-1, 2).T
+                    often.append((part[0][at], times - 1))
         if not sent:
             return
         total = sum(len(x[0]) for x in sent)
@@ -275,11 +346,19 @@ def owners(n: int):
         while sent:
             part = sent.pop()
             likely = merged.estimate(part[0]) >= 2
-            kept.append([c[likely] for c in part])
-        key, key2, doc, th, pos = (np.concatenate(x) for x in zip(*kept))
-        _, many = first_of_keys(key, key2)
-        for s, columns in by_slice(part_of(doc[many], th[many], n), [doc[many], th[many], pos[many]]):
-            yield packed(s, PLACE_NAMES, (*columns, None))
+            kept.append([c if c is None else c[likely] for c in part])
+        key, key2, doc, th, pos = (None if x[0] is None else np.concatenate(x) for x in zip(*kept))
+        _, times = first_of_keys(key, key2)
+        many = times > 1
+        for s, (i,) in by_slice(part_of(th[many], n), [np.flatnonzero(many)]):
+            yield packed(s, PLACE_NAMES, (doc if doc is None else doc[i], th[i], pos[i], None))
+        if hot:
+            keys = np.concatenate([key, *(k for k, _ in often)])
+            more = np.concatenate([np.ones(len(key), np.int64), *(t for _, t in often)])
+            each, at = np.unique(keys, return_inverse=True)
+            great = each[np.bincount(at, weights=more, minlength=len(each)) > hot]
+            if len(great):
+                yield packed(HOT, PLACE_NAMES, (None, great, None, None))
 
     return run
 
@@ -292,9 +371,10 @@ def merged_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     got = []
     for batch in batches:
         for row in batch.to_pylist():
-            doc = np.frombuffer(row["doc"], np.int64)
-            lens = np.frombuffer(row["lens"], np.int32) if row["lens"] is not None else np.ones(len(doc), np.int32)
-            got.append((doc, np.frombuffer(row["th"], np.int32), np.frombuffer(row["pos"], np.int32), lens))
+            th = np.frombuffer(row["th"], np.int64)
+            doc = np.frombuffer(row["doc"], np.int64) if row["doc"] is not None else np.zeros(len(th), np.int64)
+            lens = np.frombuffer(row["lens"], np.int32) if row["lens"] is not None else np.ones(len(th), np.int32)
+            got.append((doc, th, np.frombuffer(row["pos"], np.int32), lens))
     if got:
         yield from per_document(*(np.concatenate(x) for x in zip(*got)))
 
@@ -304,32 +384,41 @@ def by_document(places: DataFrame, n: int) -> DataFrame:
     return places.repartitionById(n, "part").mapInArrow(tidied(merged_places), MARKS)
 
 
-def partitions_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def partitions_for(docs: DataFrame, size: int) -> int:
+    """How many partitions own the keys of so many bytes of text."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
-def repeated_anchors(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """(doc_id, th, places): int32 places of repeated anchors, for each document with one."""
-    n = partitions_of(docs)
+def found_anchors(docs: DataFrame, units: Units, window: int, gram: int, n: int, hot: int = 0) -> DataFrame:
+    """PLACES of repeated anchors, by th alone; with rows of the part HOT for those of more than `hot` places."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(n, False)
-        for texts, (ids, ths) in chunks(batches, ["doc_id", "th"]):
+        out = Sender(n)
+        for texts, (ths,) in chunks(batches, ["th"]):
             data, sizes = units(texts)
             key, owner, pos = Chunk(data, sizes, window, gram).anchors()
-            yield from out.add(key, np.zeros(len(key), np.uint32), ids.to_numpy()[owner], ths.to_numpy()[owner], pos.astype(np.int32))
+            yield from out.add(key, None, None, ths.to_numpy()[owner], pos.astype(np.int32))
         yield from out.flush()
 
-    found = docs.mapInArrow(tidied(send), RECORD).repartitionById(n, "part").mapInArrow(tidied(owners(n)), PLACES)
-    return by_document(found, n).select("doc_id", "th", F.col("starts").alias("places"))
+    return docs.select("th", "text").mapInArrow(tidied(send), RECORD).repartitionById(n, "part").mapInArrow(tidied(owners(n, hot)), PLACES)
+
+
+def places_of(found: DataFrame, n: int) -> DataFrame:
+    """(th, places): int32 places of repeated anchors, for each document with one."""
+    return by_document(found, n).select("th", F.col("starts").alias("places"))
 
 
 def flagged_windows(chunk: Chunk, places) -> np.ndarray:
     """Rows of chunk.starts whose anchor is among the documents' repeated ones."""
     flag = np.zeros(chunk.n + 1, bool)
-    for begin, own in zip(chunk.begins.tolist(), places):
+    for begin, size, own in zip(chunk.begins.tolist(), chunk.sizes.tolist(), places):
         if own:
-            flag[begin + np.frombuffer(own, np.int32)] = True
+            at = np.frombuffer(own, np.int32)
+            flag[begin + at[at < size]] = True
     return np.flatnonzero(flag[chunk.anchor])
 
 

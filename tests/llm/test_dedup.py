@@ -133,6 +133,88 @@ def test_substring_dedup_is_exact(spark, window, gram):
     assert substrings.substring_dedup(table(spark, [])).count() == 0
 
 
+def complementary(length):
+    """Two strings of two letters whose sums of powers modulo 2^64 are the same for every base, from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_words_of_cancelling_letters_differ(spark, length):
+    shared = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{shared} {x}") for i, x in enumerate(complementary(length))] + [(2, "a " + shared), (3, "b " + shared)]
+    assert {r.doc_id: r.n_removed for r in substrings.substring_dedup(table(spark, rows)).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_window_keys_of_cancelling_words_differ():
+    one, two = (np.array([windows.word_hashes([c.encode()])[0, 0] for c in x]) for x in complementary(2048))
+    assert windows.window_keys(one, 2048)[0] != windows.window_keys(two, 2048)[0]
+    units = np.random.default_rng(0).integers(0, 9, 300).astype(np.uint64)
+    for window in (1, 2, 3, 7, 35, 64, 299, 300):
+        keys, seen = windows.window_keys(units, window), {}
+        assert len(keys) == 301 - window
+        for i, k in enumerate(keys.tolist()):
+            assert seen.setdefault(tuple(units[i : i + window].tolist()), k) == k
+        assert len(set(seen.values())) == len(seen)
+    assert len(windows.window_keys(units[:5], 8)) == 0
+
+
+def test_rows_without_ids_stay_apart(spark):
+    n = 100_000
+    df = spark.range(n).repartition(8).selectExpr("cast(null as long) as doc_id", "array_join(transform(sequence(1, 36), k -> concat(cast(id as string), '-', k)), ' ') as text")
+    twice = df.union(spark.createDataFrame([(None, " ".join(f"7-{k}" for k in range(1, 36)))], "doc_id long, text string"))
+    got = {(r.n_words, r.n_removed): r["count"] for r in substrings.substring_dedup(twice).groupBy("n_words", "n_removed").count().collect()}
+    assert got == {(36, 0): n - 1, (36, 35): 1, (35, 35): 1}
+
+
+def hot_rows(n, seed=0):
+    """Texts around one line, which holds the anchor of many windows; some share more than the line."""
+    rng = random.Random(seed)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    line, rows = "one line that very many texts have in common, word by word", []
+    edge = noise(30)
+    for i in range(n):
+        rows.append((i, noise(rng.randint(0, 150)) + (edge if i % 7 == 0 else "") + line + (edge[:20] if i % 5 == 0 else "") + noise(rng.randint(0, 150))))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [3, 40, 10**9])
+def test_hot_anchors_give_the_same(spark, hot):
+    rows = hot_rows(150) + [(500 + i, t) for i, t in hot_rows(20)] + [(600, "z" * 400)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.suffix_dedup(table(spark, rows), hot=hot).collect()}
+    assert got == brute_bytes(rows, 100)
+
+
+def test_hot_anchors_are_split(spark):
+    docs = windows.keyed(spark.createDataFrame(hot_rows(4000, 1), "doc_id long, text string").repartition(6))
+
+    def most_in_a_part(hot):
+        sent, n = suffix_dedup.contexts(docs, hot=hot)
+        sizes = [0] * n
+        for r in sent.where("anchor is not null").select("part", "anchor").collect():
+            sizes[r.part] += len(r.anchor) // 8
+        return max(sizes) / sum(sizes), n
+
+    share, n = most_in_a_part(500)
+    assert n == 4 and share < 0.35
+    assert most_in_a_part(10**9)[0] > share
+
+
+def test_equal_hashes_are_not_equal_strings():
+    text = np.frombuffer(b"abcabdabcab", np.uint8)
+    begins, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    same, zero = np.zeros(4, np.uint64), np.zeros(4, np.int64)
+    keep, drop = suffix_dedup.earliest(same, same, np.arange(4), zero, zero, text, begins, size)
+    assert keep.tolist() == [True, True, False, True] and drop.tolist() == [False, False, True, False]
+
+
+def test_partitions_follow_the_text(spark):
+    docs = windows.keyed(spark.createDataFrame([(1, "a" * 1000), (2, None)], "doc_id long, text string"))
+    assert windows.text_bytes(docs) == 1000 and windows.partitions_for(docs, 1000) == 4
+    assert windows.partitions_for(docs, 100 * windows.PART_BYTES + 1) == 101
+    assert windows.text_bytes(docs.where("false")) == 0
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(0)
     keys = windows.finished(rng.integers(0, 3000, 20_000).astype(np.uint64))
