@@ -13,9 +13,16 @@ first, so a host with a third of all pages is a few rows in the shuffle; joining
 back is an ordinary join whose skewed partitions Spark may split. The driver
 receives one row of sums per level.
 
+A registered domain is a public suffix and the label before it. A suffix is the last
+label, or one of several labels from the table `suffixes`, a parameter of up to some
+hundreds of entries that becomes one pattern. Ports, what stands before an @, and dots at
+the end do not count. An IP address is its own domain, under a suffix for addresses.
+
 Edge cases: a null url, or one without ://, has empty host and path, which form a
-host of their own; hosts without outcomes get what their domain and suffix say;
-without any outcome every rate is `unseen`; repeated pages count each. The rule
+host of their own; a host that is itself a suffix is its own domain; hosts without
+outcomes get what their domain and suffix say; without any outcome every rate is
+`unseen`; repeated pages count each; columns of pages travel as one, so no name of
+theirs meets one from here, and those named like the result's are replaced. The rule
 list is a parameter of tens of entries and becomes one expression.
 """
 
@@ -30,6 +37,16 @@ from coterie.llm.common import shared_folder, table
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Public suffixes of more than one label, the more common ones: fixed values.
+SUFFIXES = (
+    "ac.jp", "ac.kr", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn",
+    "edu.au", "edu.cn", "edu.hk", "edu.tw", "go.jp", "go.kr", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "gov.za", "ltd.uk", "me.uk",
+    "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.in", "org.nz", "org.uk", "org.za", "plc.uk", "sch.uk",
+)
+#: What IP addresses have for a suffix.
+ADDRESS = "[address]"
+IP = r"^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\])$"
 Z, MOST_BLOCKED, UNSEEN = 1.64, 0.5, 0.0
 LEAST_RHO, MOST_RHO = 0.001, 0.999
 PRIOR_RHO, PRIOR_ROOM = 0.1, 5.0
@@ -50,11 +67,23 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (name, verdict) if name is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """The last two labels (the host itself if it has fewer) and the last, without a port."""
-    bare = F.regexp_replace(host, ":[0-9]*$", "")
-    two = F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1)
-    return F.when(two == "", bare).otherwise(two), F.regexp_extract(bare, r"([^.]*)$", 1)
+#: What of a host counts: nothing up to an @, no port, no dots at the end.
+EXTRAS = r"^.*@|:[0-9]*$"
+
+
+def patterns(suffixes=SUFFIXES) -> tuple[str, str]:
+    """Of the registered domain and of the suffix, in group 1 each; the leftmost match is the longest suffix."""
+    known = "".join(f"{x.replace('.', '[.]')}|" for x in sorted(suffixes))
+    return rf"(?:^|[.])([^.]+[.](?:{known}[^.]+))$", rf"(?:^|[.])({known}[^.]*)$"
+
+
+def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain (the host itself where it has no label before its suffix) and the suffix."""
+    domain, suffix = patterns(suffixes)
+    bare = F.regexp_replace(F.regexp_replace(host, EXTRAS, ""), "[.]+$", "")
+    address = bare.rlike(IP)
+    two, last = F.regexp_extract(bare, domain, 1), F.regexp_extract(bare, suffix, 1)
+    return F.when(address | (two == "") | (last == bare), bare).otherwise(two), F.when(address, F.lit(ADDRESS)).otherwise(last)
 
 
 def rho(spread: float | None, chance: float | None, room: float | None) -> float:
@@ -74,11 +103,11 @@ def _kappa(level: DataFrame, n: str, b: str, parent: Column) -> float:
     return 1 / rho(s["spread"], s["chance"], s["room"]) - 1
 
 
-def reputations(outcomes: DataFrame, z: float = Z, most_blocked: float = MOST_BLOCKED, unseen: float = UNSEEN) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = Z, most_blocked: float = MOST_BLOCKED, unseen: float = UNSEEN, suffixes=SUFFIXES) -> DataFrame:
     """For each host: posterior, bound and verdict, from rows (host, blocked: 0, 1 or null)."""
     shared_folder(outcomes.sparkSession)
     hosts = outcomes.groupBy("host").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"))
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix).checkpoint()
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
@@ -95,18 +124,17 @@ def reputations(outcomes: DataFrame, z: float = Z, most_blocked: float = MOST_BL
 
 
 def judge(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None, url: str = "url", **how) -> DataFrame:
-    """Adds host, path, rule, verdict; outcomes (host, blocked) replace the rules' own if given."""
+    """Adds host, path, rule, verdict; outcomes (host, blocked) replace the rules' own if given. how: as for reputations."""
     host, path = host_and_path(url)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    cut = pages.select(*kept, host.alias("host"), path.alias("path"))
+    cut = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("page"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    cut = cut.withColumn("rule", rule).withColumn("_ruled", verdict)
-    own = cut.select("host", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0).alias("blocked"))
+    cut = cut.withColumn("rule", rule).withColumn("ruled", verdict)
+    own = cut.select("host", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).alias("blocked"))
     if outcomes is not None:  # every host is asked about, also those without an outcome
         own = cut.select("host", F.lit(None).cast("int").alias("blocked")).unionByName(outcomes.select("host", F.col("blocked").cast("int").alias("blocked")))
-    by_host = reputations(own, **how).select(F.col("host").alias("_host"), F.col("reputation").alias("_reputation"))
-    met = cut.join(by_host, F.col("host") == F.col("_host"), "left")
-    return met.select(*kept, "host", "path", "rule", F.coalesce("_ruled", "_reputation", F.lit("allow")).alias("verdict"))
+    met = cut.join(reputations(own, **how).select("host", "reputation"), "host", "left")
+    return met.select(*(F.col(f"page.`{c}`").alias(c) for c in kept), "host", "path", "rule", F.coalesce("ruled", "reputation", F.lit("allow")).alias("verdict"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -124,8 +152,9 @@ _NAMES = [(what, h + p) for what, h, p in sorted(RULES, key=lambda r: (-len(r[1]
 ORACLE_OP3 = f"""
 WITH cut AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
 ruled AS (SELECT *, CASE {' '.join(f"{f} '{r}'" for f, (_, r) in zip(_FITS, _NAMES))} END AS rule, CASE {' '.join(f"{f} '{v}'" for f, (v, _) in zip(_FITS, _NAMES))} END AS ruled FROM cut),
-h0 AS (SELECT host, count(ruled)::BIGINT AS n, count(*) FILTER (ruled = 'block')::BIGINT AS b, regexp_replace(host, ':[0-9]*$', '') AS bare FROM ruled GROUP BY host),
-hosts AS (SELECT *, CASE WHEN regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) = '' THEN bare ELSE regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) END AS domain, regexp_extract(bare, '([^.]*)$', 1) AS sfx FROM h0),
+h0 AS (SELECT host, count(ruled)::BIGINT AS n, count(*) FILTER (ruled = 'block')::BIGINT AS b, regexp_replace(regexp_replace(host, '{EXTRAS}', '', 'g'), '[.]+$', '') AS bare FROM ruled GROUP BY host),
+h1 AS (SELECT *, regexp_extract(bare, '{patterns()[0]}', 1) AS two, regexp_extract(bare, '{patterns()[1]}', 1) AS tail, regexp_matches(bare, '{IP}') AS address FROM h0),
+hosts AS (SELECT *, CASE WHEN address OR two = '' OR tail = bare THEN bare ELSE two END AS domain, CASE WHEN address THEN '{ADDRESS}' ELSE tail END AS sfx FROM h1),
 domains AS (SELECT domain, sfx, sum(n)::BIGINT AS dn, sum(b)::BIGINT AS db FROM hosts GROUP BY ALL),
 suffixes AS (SELECT sfx, sum(dn)::BIGINT AS sn, sum(db)::BIGINT AS sb FROM domains GROUP BY ALL),
 g AS (SELECT coalesce(sum(sb) / nullif(sum(sn), 0), {UNSEEN})::DOUBLE AS rate FROM suffixes),
