@@ -7,14 +7,17 @@ the hits its filter gives by chance (fill to the power of the number of hashes)
 are taken off, and the largest corrected count decides.
 
 A language contains an n-gram if a sufficient share of its learned texts has it,
-compared with the language where that share is largest. Fitting uses about
-`texts_per_language` texts of each language, taken by hash of the text's id, so
-the filters and what the driver holds have a bound; predicting covers all rows.
+compared with the language where that share is largest; with texts enough for it, one
+text alone does not put an n-gram in. Fitting uses about `texts_per_language` different
+texts of each language, taken by hash of id and text, of the `most_languages` most frequent
+languages, and of their n-grams the most frequent ones, `most_grams` in all: that is what
+the driver holds at most, and the filters come from it. Predicting covers all rows.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; a text
 without a known n-gram gets the commonest language, with that language's share
 of the learned texts; without learned languages all is `und`; ties go to the
-language that sorts first. Texts are never cut.
+language that sorts first; a language of one learned text is learned from it; repeated
+rows are learned once. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,18 +127,19 @@ def places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     return [((hashes >> (step * np.uint64(k))) & mask).astype(np.int64) for k in range(HASHES)]
 
 
-def fit(docs: DataFrame, texts_per_language: int = 3000, least_share: float = 0.01, against_best: float = 0.25) -> Filters:
+def fit(docs: DataFrame, texts_per_language: int = 3000, least_share: float = 0.01, against_best: float = 0.25, most_languages: int = 1024, most_grams: int = 4_000_000) -> Filters:
     """Learns from the columns doc_id, text and lang; rows with a null in text or lang are not used."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    per_language = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in per_language.collect()}
     languages = sorted(counts)
     if not languages:
         return Filters([], np.zeros(0), np.zeros((1024, 1), np.uint64), np.zeros(0))
-    part = None  # the share of each language's texts, by hash
-    for name in languages:
-        use = F.col("lang") == name, F.lit(int(min(1.0, texts_per_language / counts[name]) * (1 << 30)))
-        part = F.when(*use) if part is None else part.when(*use)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part)
+    shares = F.create_map(*(F.lit(x) for name in languages for x in (name, int(min(1.0, texts_per_language / counts[name]) * (1 << 30)))))
+    part = F.coalesce(shares[F.col("lang")], F.lit(0))  # the share of each language's texts, by hash
+    sample = known.where(F.pmod("h", F.lit(1 << 30)) < part)
+    # rows that repeat each other are one, first within each task
+    sample = sample.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +156,12 @@ def fit(docs: DataFrame, texts_per_language: int = 3000, least_share: float = 0.
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(languages), dtype=np.int32)), pa.array(np.zeros(len(languages), np.int64)), pa.array(used.astype(np.int64))], ["k", "gram", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    # bounded by the sample: n-grams that enough of its texts have
-    found = counted.where((F.col("k") < 0) | (F.col("n") >= 2)).toPandas()
+    need = 2 / least_share  # texts from which two are no more than the least share
+    twice = F.col("k").isin([i for i, name in enumerate(languages) if counts[name] >= need])
+    heard = counted.where((F.col("k") >= 0) & (F.col("n") >= F.when(twice, 2).otherwise(1)))
+    frequent = Window.partitionBy("k").orderBy(F.col("n").desc(), "gram")
+    heard = heard.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") <= max(1000, most_grams // len(languages))).drop("nth")
+    found = heard.unionByName(counted.where(F.col("k") < 0)).toPandas()
     used = found[found.k < 0].set_index("k")["n"].reindex(-1 - np.arange(len(languages)), fill_value=0).to_numpy()
     found = found[found.k >= 0]
     k, gram = found["k"].to_numpy(), found["gram"].to_numpy(np.int64)
