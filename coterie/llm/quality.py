@@ -3,9 +3,12 @@
 Learning is sequential covering. On a growing set, one rule at a time takes the
 threshold that gains most about the rejected class until it covers no kept row or
 nothing gains; on a pruning set, its last conditions go while that raises its
-worth; a rule that is precise and wide enough enters the list and the rows it
-covers leave both sets. The list becomes one Spark `when` chain over the
-statistics, so that judging needs no Python.
+worth. A rule that is precise and wide enough enters the list, and the rows it covers
+leave both sets. A rule that is not precise may become so by an exception, a rule for
+keeping that is grown and pruned inside it in the same way and stands before it: the
+first rule of the list that fits a row decides, so their order counts. Where that fails
+too, the rejected rows it covers are set aside and covering goes on with the others. The
+list becomes one Spark `when` chain over the statistics, so that judging needs no Python.
 
 Only the fit uses a sample, of about `max_labelled` labelled rows taken by hash
 (twice as many at most); the statistics and the verdicts cover every row.
@@ -99,7 +102,7 @@ class Rule:
 
 
 def learn(values: np.ndarray, rejected: np.ndarray, names: list[str], min_precision: float = 0.9, min_covered: int = 4, cuts: int = 64, longest: int = 3, seed: int = 7) -> list[Rule]:
-    """An ordered list of rejecting rules; what no rule covers is kept."""
+    """An ordered list of rules; the first that fits decides, and what no rule covers is kept."""
     order = np.random.default_rng(seed).permutation(len(rejected))
     pruning = np.zeros(len(rejected), bool)
     pruning[order[::3]] = True
@@ -114,16 +117,17 @@ def learn(values: np.ndarray, rejected: np.ndarray, names: list[str], min_precis
             hit &= values[:, k] >= cut if above else values[:, k] <= cut
         return hit
 
-    while (left & ~pruning & rejected).sum() >= min_covered:
-        grow, conditions = left & ~pruning, []
+    def grown(rows: np.ndarray, target: np.ndarray) -> list[tuple[int, bool, float]]:
+        """Conditions that single out the target among the rows, the one that gains most first."""
+        conditions: list[tuple[int, bool, float]] = []
         while len(conditions) < longest:
-            now = grow & covers(conditions)
-            p, n = (now & rejected).sum(), (now & ~rejected).sum()
-            if n == 0:
+            now = rows & covers(conditions)
+            p, n = (now & target).sum(), (now & ~target).sum()
+            if n == 0 or p == 0:
                 break
             best = (0.0, None)
             for k in range(len(names)):
-                v, y = values[now, k], rejected[now]
+                v, y = values[now, k], target[now]
                 at = np.argsort(v, kind="stable")
                 v, below = v[at], np.concatenate([[0], np.cumsum(y[at])])
                 for above, side in ((True, "left"), (False, "right")):
@@ -138,24 +142,61 @@ def learn(values: np.ndarray, rejected: np.ndarray, names: list[str], min_precis
             if best[1] is None:
                 break
             conditions.append(best[1])
-        if not conditions:
-            break
+        return conditions
 
-        def worth(c) -> float:
-            hit = left & pruning & covers(c)
-            p, n = (hit & rejected).sum(), (hit & ~rejected).sum()
-            return (p - n) / (p + n) if p + n else -1.0
+    def counted(hit: np.ndarray, target: np.ndarray) -> tuple[int, int]:
+        return int((hit & target).sum()), int((hit & ~target).sum())
 
-        conditions = max((conditions[:i] for i in range(len(conditions), 0, -1)), key=worth)
-        hit = left & covers(conditions)
-        p, n = int((hit & rejected).sum()), int((hit & ~rejected).sum())
-        if p < min_covered or p / (p + n) < min_precision or worth(conditions) < 2 * min_precision - 1:
-            break
+    def worth(hit: np.ndarray, target: np.ndarray) -> float:
+        p, n = counted(hit & pruning, target)
+        return (p - n) / (p + n) if p + n else -1.0
+
+    def good(hit: np.ndarray, target: np.ndarray) -> bool:
+        p, n = counted(hit, target)
+        return p >= min_covered and p / (p + n) >= min_precision and worth(hit, target) >= 2 * min_precision - 1
+
+    def pruned(conditions, rows: np.ndarray, target: np.ndarray):
+        return max((conditions[:i] for i in range(len(conditions), 0, -1)), key=lambda c: worth(rows & covers(c), target))
+
+    def rule(conditions, kept: bool, hit: np.ndarray) -> Rule:
         tightest: dict[tuple[int, bool], float] = {}
         for k, above, cut in conditions:
             tightest[k, above] = (max if above else min)(cut, tightest.get((k, above), cut))
-        rules.append(Rule(tuple(Condition(names[k], above, cut) for (k, above), cut in tightest.items()), False, p + n, p / (p + n)))
-        left &= ~hit
+        p, n = counted(hit, ~rejected if kept else rejected)
+        return Rule(tuple(Condition(names[k], above, cut) for (k, above), cut in tightest.items()), kept, p + n, p / (p + n))
+
+    def with_exception(conditions):
+        """(conditions of the exception, of the rule) for the first prefix of the conditions that one exception makes good."""
+        for i in range(len(conditions), 0, -1):
+            inside = left & covers(conditions[:i])
+            found = grown(inside & ~pruning, ~rejected)
+            if found:
+                found = pruned(found, inside, ~rejected)
+                out = inside & covers(found)
+                if good(out, ~rejected) and good(inside & ~out, rejected):
+                    return conditions[:i] + found, conditions[:i]
+        return None
+
+    aside = np.zeros(len(rejected), bool)
+    while (left & ~pruning & ~aside & rejected).sum() >= min_covered:
+        conditions = grown(left & ~pruning & ~aside, rejected)
+        if not conditions:
+            break
+        best = pruned(conditions, left, rejected)
+        hit = left & covers(best)
+        if good(hit, rejected):
+            rules.append(rule(best, False, hit))
+            left &= ~hit
+        elif (pair := with_exception(conditions)) is not None:
+            out = left & covers(pair[0])
+            hit = left & covers(pair[1]) & ~out
+            rules += [rule(pair[0], True, out), rule(pair[1], False, hit)]
+            left &= ~(out | hit)
+        else:
+            more = left & covers(conditions) & rejected & ~aside
+            if not more.any():
+                break
+            aside |= more
     return rules
 
 

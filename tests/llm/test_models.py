@@ -40,6 +40,19 @@ def test_counts(spark):
     assert quality.with_counts(df.where("false")).count() == 0
 
 
+def plain_verdicts(rules, values, names):
+    """The first rule of the list whose conditions all hold decides; without one a row is kept."""
+    out = []
+    for row in values:
+        kept = True
+        for r in rules:
+            if all((row[names.index(c.feature)] >= c.threshold) if c.above else (row[names.index(c.feature)] <= c.threshold) for c in r.conditions):
+                kept = r.kept
+                break
+        out.append(kept)
+    return np.array(out, bool)
+
+
 def test_rules_are_learned_and_keep_the_rest():
     rng = np.random.default_rng(0)
     n = 1500
@@ -47,19 +60,55 @@ def test_rules_are_learned_and_keep_the_rest():
     rejected = (values[:, 0] > 0.8) & (values[:, 1] < 0.5) | (values[:, 2] > 0.95)
     rejected ^= rng.random(n) < 0.005
     rules = quality.learn(values, rejected, ["a", "b", "c"])
-    verdict = np.zeros(n, bool)
-    for r in rules:
-        hit = np.ones(n, bool)
-        for c in r.conditions:
-            v = values[:, "abc".index(c.feature)]
-            hit &= v >= c.threshold if c.above else v <= c.threshold
-        verdict |= hit
-    assert rules and (verdict & ~rejected).sum() <= 0.05 * verdict.sum()
-    assert (verdict & rejected).sum() >= 0.8 * rejected.sum()
+    out = ~plain_verdicts(rules, values, ["a", "b", "c"])
+    assert rules and (out & ~rejected).sum() <= 0.05 * out.sum()
+    assert (out & rejected).sum() >= 0.8 * rejected.sum()
     assert quality.learn(values, np.zeros(n, bool), ["a", "b", "c"]) == []
     assert quality.learn(values[:0], rejected[:0], ["a", "b", "c"]) == []
 
 
+def test_covering_goes_on_after_a_rule_that_fails():
+    rng = np.random.default_rng(5)
+    n = 4000
+    values = rng.random((n, 3))
+    noise = (values[:, 0] > 0.7) & (rng.random(n) < 0.5)  # gains most, but is never precise
+    clear = (values[:, 1] > 0.97) & (values[:, 0] < 0.7)
+    rules = quality.learn(values, noise | clear, ["a", "b", "c"])
+    out = ~plain_verdicts(rules, values, ["a", "b", "c"])
+    assert (out & clear).sum() >= 0.9 * clear.sum() and (out & ~noise & ~clear).sum() <= 0.01 * n
+
+
+def test_exceptions_stand_before_what_they_are_taken_from():
+    rng = np.random.default_rng(6)
+    values = rng.random((4000, 4))
+    rejected = (values[:, 0] > 0.6) & (values[:, 1] < 0.8)  # no single condition is precise
+    rules = quality.learn(values, rejected, ["a", "b", "c", "d"], min_precision=0.95, longest=1)
+    assert [r.kept for r in rules[:2]] == [True, False] and set(rules[1].conditions) < set(rules[0].conditions)
+    out = ~plain_verdicts(rules, values, ["a", "b", "c", "d"])
+    turned = ~plain_verdicts(rules[::-1], values, ["a", "b", "c", "d"])
+    assert (out & ~rejected).sum() <= 0.05 * rejected.sum() and (out & rejected).sum() >= 0.8 * rejected.sum()
+    assert (turned & ~rejected).sum() > (out & ~rejected).sum()  # the order counts
+
+
+def test_verdicts_are_those_of_plain_rules(spark):
+    names = list(quality.features())
+    rng = random.Random(9)
+    texts = TEXTS[:-1] + [" ".join(rng.choice(["word", "WORD", "#!", "x1", "a\na"]) for _ in range(rng.randint(1, 90))) for _ in range(150)]
+    df = quality.with_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows = df.select("doc_id", *(v.alias(f"f_{k}") for k, v in quality.features().items())).orderBy("doc_id").toPandas()
+    values = rows[[f"f_{k}" for k in names]].to_numpy(float)
+    condition = lambda: quality.Condition(rng.choice(names), rng.random() < 0.5, float(rng.choice(values[:, rng.randrange(len(names))])))
+    for _ in range(6):
+        rules = [quality.Rule(tuple(condition() for _ in range(rng.randint(1, 3))), rng.random() < 0.5, 1, 1.0) for _ in range(rng.randint(0, 6))]
+        got = [r.kept for r in df.withColumn("kept", quality.verdict(rules)).orderBy("doc_id").collect()]
+        assert got == plain_verdicts(rules, values, names).tolist()
+        judged = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(df.select("doc_id", "text"), rules).collect()}
+        for i, t in enumerate(texts):
+            n, _, _, _, repeated = plain_counts(t)
+            failed = n < 50 or 100 * repeated > 50 * n
+            assert judged[i] == (failed, not failed and got[i])
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "good words " * 10), (2, None), (None, " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
     for labels in ([], [(1, None)], [(1, 1), (None, 0)]):
@@ -109,6 +158,85 @@ def test_filters_answer_for_all_languages():
     assert abs(share - f.chance[5]) < 0.01
 
 
+def plain_ngrams(text):
+    """N-grams of the lower-cased text between blanks; runs of anything but letters are one blank."""
+    cleaned = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", (text or "").lower(), flags=re.S) + " "
+    cleaned = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in cleaned))
+    return [cleaned[i : i + n] for n in language.SIZES for i in range(len(cleaned) - n + 1)]
+
+
+def language_texts():
+    rng = random.Random(11)
+    stems = {"aa": ["lo", "ri", "ta", "é"], "bb": ["schu", "gen", "ver", "ta"], "cc": ["wak", "zun", "pip", "lo"], "dd": ["solo"]}
+    make = lambda lang: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 25)))
+    rows = [(i, make(lang), lang) for i in range(260) for lang in [["aa", "bb", "cc"][i % 3]]] + [(900, make("dd"), "dd")]
+    return rows, [make(x) for x in ("aa", "bb", "cc", "dd") for _ in range(25)] + ["", "123", "漢字 かな", "Ta-Ta ta!", "x", "lori schugen wak", "  É é  "]
+
+
+def test_language_filters_hold_plain_sets(spark):
+    rows, texts = language_texts()
+    filters = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least_share=0.05, against_best=0.5)
+    texts_of = {name: [set(plain_ngrams(t)) for _, t, lang in rows if lang == name] for name in filters.languages}
+    share = {name: {g: sum(g in t for t in own) / len(own) for g in set().union(*own)} for name, own in texts_of.items()}
+    least = {name: 2 if len(own) >= 2 / 0.05 else 1 for name, own in texts_of.items()}
+    best = {}
+    for own in share.values():
+        for g, v in own.items():
+            best[g] = max(best.get(g, 0), v)
+    sets = {name: {g for g, v in own.items() if v >= 0.05 and v >= 0.5 * best[g] and round(v * len(texts_of[name])) >= least[name]} for name, own in share.items()}
+    assert sorted(sets) == ["aa", "bb", "cc", "dd"] and all(len(x) > 5 for x in sets.values())
+    known = sorted(set().union(*(set(x) for x in share.values())))
+    wrong = 0
+    for g in known:
+        code = np.array([[ord(c) for c in g]], np.uint64)
+        h = np.full(1, len(g), np.uint64)
+        for k in range(len(g)):
+            h = (h ^ code[:, k]) * language.ODD[k]
+            h ^= h >> np.uint64(29)
+        mask = int(filters.containing(h * language.ODD[0])[0, 0])
+        for i, name in enumerate(filters.languages):
+            inside = g in sets[name]
+            assert mask >> i & 1 or not inside
+            wrong += bool(mask >> i & 1) and not inside
+    assert wrong <= 0.01 * len(known) * len(sets) + 2
+
+
+def test_language_predictions_by_hand(spark):
+    rows, texts = language_texts()
+    filters = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, scores = filters.predict([None, *texts])
+    assert names[0] == "und" and scores[0] == 0
+    for text, name, score in zip(texts, names[1:], scores[1:]):
+        hits, total = [0] * len(filters.languages), 0
+        for g in plain_ngrams(text):
+            h = np.uint64(len(g))
+            with np.errstate(over="ignore"):
+                for k, c in enumerate(g):
+                    h = (h ^ np.uint64(ord(c))) * language.ODD[k]
+                    h ^= h >> np.uint64(29)
+                h = h * language.ODD[0]
+            cells = [int(filters.cells[int(at[0]), 0]) for at in language.places(np.array([h]), len(filters.cells))]
+            total += 1
+            for i in range(len(hits)):
+                hits[i] += all(c >> i & 1 for c in cells)
+        true = [max(0.0, (n - total * p) / (1 - p)) for n, p in zip(hits, filters.chance)]
+        true = true if sum(true) > 0 else filters.prior.tolist()
+        want = max(range(len(true)), key=lambda i: (true[i], -i))
+        if any(c.isalpha() for c in text):
+            assert name == filters.languages[want] and abs(score - true[want] / sum(true)) < 1e-12
+        else:
+            assert (name, score) == ("und", 0)
+
+
+def test_language_bounds(spark):
+    rows, _ = language_texts()
+    docs = spark.createDataFrame(rows + [(5, "hot text of one row", "aa")] * 3000, "doc_id long, text string, lang string")
+    filters = language.fit(docs, texts_per_language=50, most_languages=3, most_grams=3000)
+    assert filters.languages == ["aa", "bb", "cc"]
+    one = language.fit(spark.createDataFrame([(1, "solo solo", "dd"), (2, None, "ee")], "doc_id long, text string, lang string"))
+    assert one.languages == ["dd"] and one.predict(["solo"])[0] == ["dd"]
+
+
 @needs_data
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -194,6 +322,35 @@ def plain_rule(url):
     return host, path, max(fits, key=len, default=None)
 
 
+DOMAINS = {
+    "a.co.uk": ("a.co.uk", "co.uk"), "x.y.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "notco.uk": ("notco.uk", "uk"), "www.notco.uk": ("notco.uk", "uk"),
+    "x.com": ("x.com", "com"), "x.com.": ("x.com", "com"), "w.x.com..": ("x.com", "com"), "w.x.com:80": ("x.com", "com"), "me@w.x.com:": ("x.com", "com"), "localhost": ("localhost", "localhost"),
+    "10.0.0.1": ("10.0.0.1", "[address]"), "192.168.0.1:8080": ("192.168.0.1", "[address]"), "[::1]": ("[::1]", "[address]"), "[fe80::1]:443": ("[fe80::1]", "[address]"), "1.2.3.4.com": ("4.com", "com"), "": ("", ""),
+}
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in DOMAINS], "host string")
+    domain, suffix = urls.domain_and_suffix(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in hosts.select("host", domain.alias("d"), suffix.alias("s")).collect()} == DOMAINS
+    domain, suffix = urls.domain_and_suffix(F.col("host"), ("b.co.uk", "co.uk"))
+    assert {r.d for r in hosts.where("host = 'x.y.b.co.uk'").select(domain.alias("d")).collect()} == {"y.b.co.uk"}
+    domain, suffix = urls.domain_and_suffix(F.col("host"), ())
+    assert {r.d for r in hosts.where("host = 'a.co.uk'").select(domain.alias("d")).collect()} == {"co.uk"}
+
+
+def test_strangers_under_one_suffix(spark):
+    rows = [(f"h{i}.bad.co.uk", 1) for i in range(30)] + [(f"h{i}.good.co.uk", 0) for i in range(90)] + [("new.bad.co.uk", None), ("new.good.co.uk", None), ("10.0.0.1", 1), ("192.168.0.1", None)]
+    got = {r.host: r for r in urls.reputations(spark.createDataFrame(rows, "host string, blocked int")).collect()}
+    assert got["new.bad.co.uk"].posterior > 0.9 and got["new.good.co.uk"].posterior < 0.1
+
+
+def test_columns_of_pages_never_clash(spark):
+    pages = spark.createDataFrame([(1, "http://www.site.com/de/1", "a", "b", "c", "d", "e")], "page_id long, url string, _host string, page string, ruled string, `x.y` string, verdict string")
+    got = urls.judge(pages).collect()[0]
+    assert got.asDict() == {"page_id": 1, "url": "http://www.site.com/de/1", "_host": "a", "page": "b", "ruled": "c", "x.y": "d", "host": "www.site.com", "path": "/de/1", "rule": "com/de/", "verdict": "block"}
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "mine", "x") for i, u in enumerate(URLS)], "page_id long, url string, reputation string, host string")
     got = {r.page_id: r for r in urls.judge(pages).collect()}
