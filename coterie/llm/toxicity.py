@@ -1,24 +1,28 @@
 """Toxicity by a bidirectional gated recurrent network, trained and run in numpy.
 
-A word enters as two embeddings: one of its hash, one that averages those of its
-character trigrams, so that spellings it has not seen still say something. A
+A word enters as three vectors: an embedding of its hash, the average of the embeddings
+of its character trigrams, so that spellings it has not seen still say something, and the
+state in which a small gated recurrent network ends that reads its bytes one by one. A
 network of gated recurrent units reads a window of words in both directions, an
 attention layer pools the states, and a linear layer gives the window's logit. A
 text's logit is the highest of all its overlapping windows, so that its length and
 the place of an insult in it do not matter; two numbers fitted on labelled texts
-turn it into a probability.
+turn it into a probability. Windows of `WIDTH` words begin every `STRIDE` words and one
+ends with the text: every word is read, and each run of up to WIDTH - STRIDE + 1 words
+lies whole in a window.
 
-Only fitting uses a sample: about `max_labelled` labelled texts taken by hash, of
-which the driver receives a few windows each (a bound holds even where one id is on
-most rows). Word statistics of the sample choose
-them: the most telling one of a toxic text, the most telling and other ones of the
-rest. Scoring covers every word of every text.
+Only fitting uses a sample: about `max_labelled` labelled texts taken by hash, a class
+that has fewer than half of them whole, of which the driver receives a few windows each
+(a bound holds even where one id is on most rows). Word statistics of the sample (of
+`MOST_WORDS` words at most) choose them: the most telling one of a toxic text, the most
+telling and other ones of the rest. The two numbers are fitted with weights that give
+the classes their shares among all labels. Scoring covers every word of every text.
 
 Edge cases: a null or empty text is one window without words, whose logit is the
 output's constant; rows without a label are not learned from; with labels of one
-class or none, every score is the share of toxic labels (0 without labels);
-repeated rows score alike, of several labels of one id the largest counts. A worker
-holds one chunk of text at a time.
+class or none, or no text for one of them, every score is the share of toxic labels
+(0 without labels); repeated rows score alike, of several labels of one id the largest
+counts. A worker holds one chunk of text at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ from coterie.llm.windows import word_hashes, word_places
 
 WIDTH, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 8
+#: Of the network over the bytes of a word: what a byte enters as, and its state.
+BYTE, SPELL = 6, 8
+INPUT = 2 * DIM + SPELL
+MOST_WORDS = 200_000
 CHUNK = 1 << 20
 
 
@@ -45,7 +53,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The distinct words of some texts as inputs: word bucket, trigram buckets and where they begin."""
+    """The distinct words of some texts as inputs: word bucket, trigram buckets and where they begin, bytes."""
 
     def __init__(self, texts: list[bytes]):
         lowered = [t.lower() for t in texts]
@@ -67,6 +75,7 @@ class Words:
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - self.gram_at, room)
         self.grams = ((code[place] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % GRAMS
         self.gram_n = room
+        self.joined, self.lo = joined, lo
 
 
 def window_starts(sizes: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,14 +99,55 @@ class Network:
         draw = lambda *shape, by: (r.standard_normal(shape) * by).astype(np.float32)
         p = {"words": draw(WORDS, DIM, by=0.3), "grams": draw(GRAMS, DIM, by=0.3), "attend": draw(2 * HIDDEN, by=0.1), "out": draw(2 * HIDDEN, by=0.3), "bias": np.zeros(1, np.float32)}
         for side in "fb":
-            p |= {f"W{side}": draw(2 * DIM, 3 * HIDDEN, by=0.25), f"R{side}": draw(HIDDEN, 3 * HIDDEN, by=0.25), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
+            p |= {f"W{side}": draw(INPUT, 3 * HIDDEN, by=0.25), f"R{side}": draw(HIDDEN, 3 * HIDDEN, by=0.25), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
+        p |= {"bytes": draw(256, BYTE, by=0.3), "Ws": draw(BYTE, 3 * SPELL, by=0.3), "Rs": draw(SPELL, 3 * SPELL, by=0.3), "cs": np.zeros(3 * SPELL, np.float32)}
         return Network(p)
 
     def inputs(self, w: Words) -> np.ndarray:
         if not len(w.bucket):
-            return np.zeros((0, 2 * DIM), np.float32)
+            return np.zeros((0, INPUT), np.float32)
         chars = np.add.reduceat(self.p["grams"][w.grams], w.gram_at, axis=0) / w.gram_n[:, None].astype(np.float32)
-        return np.concatenate([self.p["words"][w.bucket], chars], axis=1)
+        return np.concatenate([self.p["words"][w.bucket], chars, self.spelled(w.joined, w.lo, w.gram_n)], axis=1)
+
+    def spelled(self, joined: np.ndarray, lo: np.ndarray, size: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """The state after the last byte of each word joined[lo:lo + size]; longer words come first, so that those still read are a front part."""
+        order = np.argsort(-size, kind="stable")
+        at, R = lo[order], self.p["Rs"]
+        h, table = np.zeros((len(lo), SPELL), self.p["Rs"].dtype), self.p["bytes"] @ self.p["Ws"] + self.p["cs"]
+        reading = len(size) - np.cumsum(np.bincount(size)) if len(size) else np.zeros(0, int)  # words longer than t bytes
+        for t, n in enumerate(reading[:-1].tolist()):
+            byte, before = joined[at[:n] + t], h[:n]
+            a, u = table[byte], before @ R
+            zr = sigmoid(a[:, : 2 * SPELL] + u[:, : 2 * SPELL])
+            z, r = zr[:, :SPELL], zr[:, SPELL:]
+            m = np.tanh(a[:, 2 * SPELL :] + r * u[:, 2 * SPELL :])
+            if keep is not None:
+                keep.append((byte, before.copy(), z, r, m, u[:, 2 * SPELL :]))
+            h[:n] = m + z * (before - m)
+        out = np.empty_like(h)
+        out[order] = h
+        return out
+
+    def spelling_gradients(self, size: np.ndarray, kept: list, d: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the parameters over bytes, from the gradient by the states that spelled() returned."""
+        order = np.argsort(-size, kind="stable")
+        dh, R = d[order], self.p["Rs"]
+        dR, dtable = np.zeros_like(R), np.zeros((256, 3 * SPELL), R.dtype)
+        rows, values = [], []
+        for byte, h, z, r, m, un in reversed(kept):
+            n = len(byte)
+            dnew = dh[:n]
+            dm = dnew * (1 - z) * (1 - m * m)
+            dz = dnew * (h - m) * z * (1 - z)
+            dr = dm * un * r * (1 - r)
+            from_h = np.concatenate([dz, dr, dm * r], axis=1)
+            rows.append(byte)
+            values.append(np.concatenate([dz, dr, dm], axis=1))
+            dR += h.T @ from_h
+            dh[:n] = dnew * z + from_h @ R.T
+        if rows:
+            _scatter(dtable, np.concatenate(rows), np.concatenate(values))
+        return {"Rs": dR, "Ws": self.p["bytes"].T @ dtable, "cs": dtable.sum(axis=0), "bytes": dtable @ self.p["Ws"].T}
 
     def read(self, projected: np.ndarray, index: np.ndarray, lens: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """States (words of the window, windows, HIDDEN) in one direction; index: (windows, WIDTH)."""
@@ -173,7 +223,7 @@ class Network:
         w = Words(texts)
         owner, first, lens = window_starts(w.sizes)
         begin = np.cumsum(w.sizes) - w.sizes
-        x = np.concatenate([self.inputs(w), np.zeros((1, 2 * DIM), np.float32)])  # the last row stands where a window has no word
+        x = np.concatenate([self.inputs(w), np.zeros((1, INPUT), np.float32)])  # the last row stands where a window has no word
         index = np.append(w.index, len(x) - 1)
         projected = {s: x @ self.p[f"W{s}"] + self.p[f"c{s}"] for s in "fb"}
         logits = np.empty(len(owner), np.float32)
@@ -197,8 +247,9 @@ def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[r[cut]] += np.add.reduceat(values[order], cut, axis=0)
 
 
-def train(windows: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
-    """Adam on the windows' cross-entropy, the classes weighing the same."""
+def train(windows: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 3, least_steps: int = 600) -> Network:
+    """Adam on the windows' cross-entropy, the classes weighing the same; few windows are gone through more often."""
+    epochs = max(epochs, -(-least_steps * batch // max(len(windows), 1)))
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     w = Words(windows)
     begin = np.cumsum(w.sizes) - w.sizes
@@ -222,15 +273,17 @@ def train(windows: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int
             grams = np.concatenate([w.grams[w.gram_at[i] : w.gram_at[i] + w.gram_n[i]] for i in real.tolist()]) if len(real) else w.grams[:0]
             n = w.gram_n[real]
             starts = np.cumsum(n) - n
-            x = np.zeros((len(used), 2 * DIM), np.float32)
+            x, spelling = np.zeros((len(used), INPUT), np.float32), []
             if len(real):
                 x[: len(real), :DIM] = net.p["words"][w.bucket[real]]
-                x[: len(real), DIM:] = np.add.reduceat(net.p["grams"][grams], starts, axis=0) / n[:, None].astype(np.float32)
+                x[: len(real), DIM : 2 * DIM] = np.add.reduceat(net.p["grams"][grams], starts, axis=0) / n[:, None].astype(np.float32)
+                x[: len(real), 2 * DIM :] = net.spelled(w.joined, w.lo[real], n, spelling)
             g, dx = net.gradients(x, own, lens[rows], y[rows], weight[rows])
+            g |= net.spelling_gradients(n, spelling, dx[: len(real), 2 * DIM :])
             g["words"], g["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
             if len(real):
                 _scatter(g["words"], w.bucket[real], dx[: len(real), :DIM])
-                _scatter(g["grams"], grams, np.repeat(dx[: len(real), DIM:] / n[:, None].astype(np.float32), n, axis=0))
+                _scatter(g["grams"], grams, np.repeat(dx[: len(real), DIM : 2 * DIM] / n[:, None].astype(np.float32), n, axis=0))
             step += 1
             for k, v in net.p.items():
                 m1[k] += 0.1 * (g[k] - m1[k])
@@ -239,14 +292,14 @@ def train(windows: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int
     return net
 
 
-def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, steps: int = 200) -> None:
-    """Fits scale and shift of the texts' logits by Newton steps with a small ridge."""
+def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int = 200) -> None:
+    """Fits scale and shift of the texts' logits, each text with its weight, by Newton steps with a small ridge."""
     x = np.stack([logits.astype(np.float64), np.ones(len(logits))], axis=1)
     b = np.array([1.0, 0.0])
     for _ in range(steps):
         p = sigmoid(x @ b)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (labels - p) - 1e-3 * (b - [1.0, 0.0]))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        move = np.linalg.solve(h, x.T @ (weight * (labels - p)) - 1e-3 * (b - [1.0, 0.0]))
         b = b + np.clip(move, -1, 1)
         if np.abs(move).max() < 1e-9:
             break
@@ -260,8 +313,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str
     total = sum(counts.values())
     if len(counts) < 2:
         return float(counts.get(1, 0) / total) if total else 0.0
-    if total > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / total))
+    rare = min(counts, key=lambda y: (counts[y], -y))
+    take = {rare: min(counts[rare], max_labelled // 2)}
+    take[1 - rare] = min(counts[1 - rare], max_labelled - take[rare])
+    share = {y: int((1 << 20) * take[y] / counts[y]) for y in take}
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # about max_labelled ids of some bytes each; dealt by id, as many may share a text
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").repartition(parts, "doc_id").select("text", "y")
@@ -276,9 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str
                 both = [np.bincount(w.index[once][y[once] == v], minlength=len(w.hashes)).astype(np.int64) for v in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(w.hashes.view(np.int64)), *map(pa.array, both)], ["word", "clean", "toxic"])
 
-    # words of enough toxic texts: as many as the sample has at most
-    told = sample.mapInArrow(count, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 2").toPandas()
-    rate = counts[1] / total
+    # words of enough toxic texts, the most frequent ones
+    told = sample.mapInArrow(count, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 2").orderBy(F.col("toxic").desc(), "word").limit(MOST_WORDS).toPandas()
+    rate = take[1] / (take[0] + take[1])
     odds = np.log((told["toxic"] + 0.5) / (told["clean"] + 0.5) * (1 - rate) / rate)
     many = np.sqrt(told["toxic"])  # a word of few texts says less
     strong = odds > 1
@@ -307,11 +363,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str
 
     # the limits only bind where some doc_id is on very many rows
     chosen = sample.mapInArrow(choose, "window binary, y int").limit(2 * max_labelled * (1 + windows_of_clean)).toPandas()
+    if chosen["y"].nunique() < 2:
+        return float(counts[1] / total)
     chosen["window"] = chosen["window"].map(bytes)
     chosen = chosen.sort_values(["y", "window"], kind="stable")
     net = train(chosen["window"].tolist(), chosen["y"].to_numpy(), seed=seed)
     scored = logits_of(sample, net).select("logit", "y").limit(2 * max_labelled).toPandas().sort_values(["y", "logit"], kind="stable")
-    calibrate(net, scored["logit"].to_numpy(), scored["y"].to_numpy())
+    y = scored["y"].to_numpy()
+    calibrate(net, scored["logit"].to_numpy(), y, np.where(y == 1, counts[1] / take[1], counts[0] / take[0]) * (take[0] + take[1]) / total)
     return net
 
 

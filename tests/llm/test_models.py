@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coterie.llm import language, quality, toxicity, urls
 from coterie.llm.common import held_out
+from coterie.llm.windows import word_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DATA = "/root/testdata/sf0.01"
@@ -248,7 +249,7 @@ def test_network_gradients():
     net = toxicity.Network.fresh(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((9, 2 * toxicity.DIM))
+    x = rng.standard_normal((9, toxicity.INPUT))
     index = rng.integers(0, 9, (5, toxicity.WIDTH))
     lens = np.array([toxicity.WIDTH, 3, 1, 0, 17])
     y, weight = np.array([1.0, 0, 1, 0, 1]), np.ones(5)
@@ -270,6 +271,98 @@ def test_network_gradients():
             assert abs((up - down) / (2 * step) - g[name].reshape(-1)[i]) < 2e-4, name
 
 
+def test_spelling_gradients():
+    net = toxicity.Network.fresh(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    w = toxicity.Words([b"one two three a\xc3\xa9 one", b"longer-than-these x"])
+    rng = np.random.default_rng(2)
+    d = rng.standard_normal((len(w.lo), toxicity.SPELL))
+    loss = lambda: float((net.spelled(w.joined, w.lo, w.gram_n) * d).sum())
+    kept = []
+    net.spelled(w.joined, w.lo, w.gram_n, kept)
+    g = net.spelling_gradients(w.gram_n, kept, d)
+    for name in ("bytes", "Ws", "Rs", "cs"):
+        flat = net.p[name].reshape(-1)
+        some = rng.choice(flat.size, 5, replace=False) if name != "bytes" else [ord("o") * toxicity.BYTE, ord("e") * toxicity.BYTE + 1, ord("z") * toxicity.BYTE]
+        for i in some:
+            old, step = flat[i], 1e-5
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / (2 * step) - g[name].reshape(-1)[i]) < 1e-6, name
+
+
+def looped_logit(net, text):
+    """The text's logit, one number after the other."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def gru(inputs, W, R, c, n):
+        h, out = [0.0] * n, []
+        for x in inputs:
+            a = [c[j] + sum(x[i] * W[i][j] for i in range(len(x))) for j in range(3 * n)]
+            u = [sum(h[i] * R[i][j] for i in range(n)) for j in range(3 * n)]
+            z, r = [sig(a[j] + u[j]) for j in range(n)], [sig(a[n + j] + u[n + j]) for j in range(n)]
+            m = [np.tanh(a[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * m[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    def vector(word):
+        bucket = (int(word_hashes([word])[0, 0]) >> 40) % toxicity.WORDS
+        padded, grams = b"\n" + word + b"\n", []
+        for i in range(len(word)):
+            code = padded[i] * 65536 + padded[i + 1] * 256 + padded[i + 2]
+            grams.append(p["grams"][((code * 0x9E3779B97F4A7C15) % (1 << 64) >> 44) % toxicity.GRAMS])
+        spelled = gru([p["bytes"][b] for b in word], p["Ws"], p["Rs"], p["cs"], toxicity.SPELL)[-1]
+        return [*p["words"][bucket], *(sum(g) / len(grams) for g in zip(*grams)), *spelled]
+
+    words = [vector(x) for x in re.findall(rb"[^\x20\x09-\x0D]+", text.lower())]
+    starts, at = [0], 0
+    while at + toxicity.WIDTH < len(words):
+        at += toxicity.STRIDE
+        starts.append(min(at, len(words) - toxicity.WIDTH))
+    logits = []
+    for first in starts:
+        own = words[first : first + toxicity.WIDTH]
+        forth = gru(own, p["Wf"], p["Rf"], p["cf"], toxicity.HIDDEN)
+        back = gru(own[::-1], p["Wb"], p["Rb"], p["cb"], toxicity.HIDDEN)[::-1]
+        states = [[*f, *b] for f, b in zip(forth, back)]
+        e = [sum(v * q for v, q in zip(s, p["attend"])) for s in states]
+        a = [np.exp(v - max(e)) for v in e]
+        pooled = [sum(w * s[j] for w, s in zip(a, states)) / sum(a) for j in range(2 * toxicity.HIDDEN)] if own else [0.0] * (2 * toxicity.HIDDEN)
+        logits.append(p["bias"][0] + sum(v * q for v, q in zip(pooled, p["out"])))
+    return max(logits)
+
+
+def test_scores_by_loops(spark):
+    rng = random.Random(8)
+    net = toxicity.Network.fresh(5)
+    net.p["bias"][0], net.scale, net.shift = 0.25, 1.5, -0.5
+    words = ["Ab", "é", "漢字", "x" * 20, "to", "be.", "#", "\u00a0"]
+    texts = ["", " \n", "one", None] + [rng.choice(" \n\t").join(rng.choice(words) for _ in range(n)) for n in (5, 31, 32, 33, 47, 48, 49, 64, 80, 100)]
+    got = net.text_logits([(t or "").encode() for t in texts])
+    want = np.array([looped_logit(net, (t or "").encode()) for t in texts])
+    assert np.abs(got - want).max() < 1e-4 and want.std() > 0.05
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = toxicity.score(docs, net).orderBy("doc_id").collect()
+    assert np.abs(np.array([r.score for r in rows]) - 1 / (1 + np.exp(0.5 - 1.5 * want))).max() < 1e-4
+    assert [r.predicted for r in rows] == [int(r.score >= 0.5) for r in rows]
+
+
+def test_a_rare_class_is_learned_whole(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["ba", "lo", "mi", "ke", "su", "ri"]) for _ in range(20)) + (" vileword" if i % 100 == 0 else "")) for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = toxicity.fit(docs, labels, max_labelled=200)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, net).collect()}
+    assert sum(got[i] == int(i % 100 == 0) for i in got) >= 1990 and sum(got[i] for i in range(0, 2000, 100)) >= 19
+    assert toxicity.fit(docs.where("doc_id % 100 != 0"), labels) == 0.01  # no text for one class
+
+
 def test_windows_cover_every_word():
     sizes = np.array([0, 1, 31, 32, 33, 48, 49, 1000])
     owner, first, lens = toxicity.window_starts(sizes)
