@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coterie.llm.common import documents, tidied
-from coterie.llm.windows import NO_ID, PLACES, RECORD, Chunk, Sender, by_document, chunks, covered, flagged_windows, found_anchors, keyed, owners, partitions_for, places_of, text_bytes, window_keys, word_lanes, word_units
+from coterie.llm.windows import NO_ID, PLACES, RECORD, Chunk, Sender, by_document, chunks, covered, flagged_windows, found_anchors, keyed, owners, partitions_for, places_of, text_bytes, window_keys, with_marks, word_lanes, word_units
 
 WINDOW, GRAM = 35, 10
 
@@ -52,7 +52,7 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words left, joined by blanks."""
     own = keyed(docs)
-    marked = own.join(marked_windows(own, window, gram), ["doc_id", "th"], "left")
+    marked = with_marks(own, marked_windows(own, window, gram))
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

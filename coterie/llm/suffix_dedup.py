@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from coterie.llm.common import WORD, documents, shared_folder, tidied
 from coterie.llm.prefix_free import repeats
-from coterie.llm.windows import BASES, HOT, NO_ID, PLACE_NAMES, PLACES, Chunk, Rolling, by_document, by_slice, byte_units, chunks, covered, flagged_windows, found_anchors, keyed, packed, part_of, partitions_for, places_of, text_bytes
+from coterie.llm.windows import BASES, HOT, NO_ID, PLACE_NAMES, PLACES, Chunk, Rolling, by_document, by_slice, byte_units, chunks, covered, flagged_windows, found_anchors, keyed, packed, part_of, partitions_for, places_of, text_bytes, with_marks
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts a task holds before it sends them, and of those an owner sorts at once.
@@ -212,7 +212,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carrie
     """
     own = keyed(docs, carried)
     marks = marked_windows(own.select("doc_id", "th", "text"), window, gram, hot)
-    marked = own.join(marks, ["doc_id", "th"], "left")
+    marked = with_marks(own, marks)
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 

@@ -412,6 +412,16 @@ def places_of(found: DataFrame, n: int) -> DataFrame:
     return by_document(found, n).select("th", F.col("starts").alias("places"))
 
 
+def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs (as from keyed()) with the starts and lens of their MARKS, or nulls.
+
+    Rows meet by th, as they do when places are looked up, so that one shuffle of the texts
+    serves both; that doc_id is the same as well is a condition beside the join's key.
+    """
+    own = marks.select(F.col("th").alias("_th"), F.col("doc_id").alias("_id"), "starts", "lens")
+    return docs.join(own, (docs["th"] == own["_th"]) & (docs["doc_id"].bitwiseXOR(own["_id"]) == 0), "left").drop("_th", "_id")
+
+
 def flagged_windows(chunk: Chunk, places) -> np.ndarray:
     """Rows of chunk.starts whose anchor is among the documents' repeated ones."""
     flag = np.zeros(chunk.n + 1, bool)
