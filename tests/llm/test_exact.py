@@ -134,18 +134,80 @@ def plain_topk(rows, k, queries_):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows, block", [(40, 7), (1000, 512)])
-def test_topk_is_exact(spark, shard_rows, block):
+@pytest.mark.parametrize("shard_rows, block, leaf", [(40, 7, 4), (100, 64, 16), (1000, 512, 256)])
+def test_topk_is_exact(spark, monkeypatch, shard_rows, block, leaf):
+    monkeypatch.setattr(topk.Tree.__init__, "__defaults__", (leaf,))
     rng = random.Random(6)
     rows = [(i, [rng.randint(-300, 300) for _ in range(6)]) for i in range(300)]
     rows += [(400 + i, [5, 5, 5, 5, 5, 5]) for i in range(60)]  # ties
-    rows += [(500, [1, 2]), (501, [3, 4]), (502, []), (503, []), (504, [10**12] * 6), (505, [-(10**12)] * 6)]
+    rows += [(500, [1, 2]), (501, [3, 4]), (502, []), (503, []), (504, [10**8] * 6), (505, [-(10**8)] * 6), (506, [1, 2, 3])]
     df = spark.createDataFrame(rows, "id long, v array<bigint>")
-    asked = [i for i, _ in rows if i % 5 == 0] + [501, 503]
-    got = sorted(tuple(r) for r in topk.top_k(df, df.where(F.col("id").isin(asked)), 5, shard_rows, block).collect())
-    big = [r for r in plain_topk(rows, 5, asked) if abs(r[3]) < 2**63]
-    assert [r for r in got if r[0] not in (504, 505) and r[2] not in (504, 505)] == [r for r in big if r[0] not in (504, 505) and r[2] not in (504, 505)]
+    asked = [i for i, _ in rows if i % 5 == 0] + [501, 503, 504, 506]
+    got = sorted(tuple(r) for r in topk.top_k(df.union(spark.createDataFrame([(None, [1] * 6), (700, None)], df.schema)), df.where(F.col("id").isin(asked)), 5, shard_rows, block).collect())
+    assert got == plain_topk(rows, 5, asked)
     assert topk.top_k(df.where("false"), df.where("false"), 5).count() == 0
+    assert topk.top_k(df, df.where("false"), 5).count() == 0
+
+
+def test_topk_repeats_and_few(spark):
+    df = spark.createDataFrame([(1, [1, 0]), (2, [3, 0]), (2, [3, 0]), (3, [2, 9])], "id long, v array<bigint>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("id = 1").union(df.where("id = 1")), 5).collect())
+    assert got == sorted([(1, 1, 2, 3), (1, 2, 2, 3), (1, 3, 3, 2)] * 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_find_the_best(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 200, (12, 5))
+    points = np.floor(centres[rng.integers(0, 12, 900)] + rng.normal(0, 8, (900, 5))).astype(np.int64)
+    ids = rng.permutation(2000)[:900].astype(np.int64)
+    tree = topk.Tree(points, ids, leaf=16)
+    assert (tree.child >= 0).sum() == (tree.child < 0).sum() - 1
+    for node, (lo, hi) in enumerate(tree.cuts):
+        own = tree.points[lo:hi]
+        assert (own.min(axis=0) == tree.low[node]).all() and (own.max(axis=0) == tree.high[node]).all() and tree.ids[lo:hi].min() == tree.least[node]
+    queries, own = points[::7], ids[::7]
+    low = np.full(len(queries), topk.LOWEST)
+    visited = []
+    plain = topk.Tree._visit
+    tree._visit = lambda *x: (visited.append(len(x[3])), plain(tree, *x))[1]
+    for kind in (np.float64, np.int64):
+        for name in ("points", "low", "high"):
+            setattr(tree, name, getattr(tree, name).astype(kind))
+        q, found, score = tree.search(queries.astype(kind), own, 4, low, low)
+        for i in range(len(queries)):
+            every = points @ queries[i]
+            best = sorted((-int(every[j]), int(ids[j])) for j in range(900) if ids[j] != own[i])[:4]
+            assert [(-int(s), int(f)) for f, s in zip(found[q == i], score[q == i])] == best
+            floor, floor_id = -best[1][0], best[1][1]
+            one = tree.search(queries[i : i + 1].astype(kind), own[i : i + 1], 4, np.array([floor]), np.array([floor_id]))
+            assert [(-int(s), int(f)) for f, s in zip(one[1], one[2])] == best[:1]
+    leaves = int((tree.child < 0).sum())
+    assert sum(visited) < 0.6 * 2 * len(queries) * leaves * 2  # most leaves are never opened
+
+
+def test_cells_cover_the_space():
+    rng = np.random.default_rng(3)
+    points = np.floor(rng.normal(0, 100, (3000, 4))).astype(np.int64)
+    cells = topk.Cells(points[:500], 4)
+    own = cells.of(points)
+    assert own.min() == 0 and own.max() == 15 and np.bincount(own).max() < 600
+    names = np.unique(own)
+    boxes = topk.Boxes(names, np.array([points[own == c].min(axis=0) for c in names]), np.array([points[own == c].max(axis=0) for c in names]))
+    bounds = boxes.bounds(points[:50])
+    for i in range(50):
+        every = points @ points[i]
+        assert all(bounds[i, j] >= every[own == c].max() for j, c in enumerate(names))
+    same = topk.Cells(np.full((40, 3), 7), 3).of(np.full((9, 3), 7))
+    assert len(set(same.tolist())) == 1
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(1, [3 * 10**9] * 4), (2, [3 * 10**9] * 4), (3, [1] * 4)], "id long, v array<bigint>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, df, 2).collect()
+    df = spark.createDataFrame([(1, [10**9] * 4), (2, [10**9] * 4), (3, [1] * 4)], "id long, v array<bigint>")
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("id = 1"), 2).collect()) == [(1, 1, 2, 4 * 10**18), (1, 2, 3, 4 * 10**9)]
 
 
 def test_unusable_vectors(spark):
