@@ -218,10 +218,16 @@ def near(queries: np.ndarray, stored: tuple[np.ndarray, np.ndarray], radius: int
 
 
 class Forest:
-    """Labels of a group's members; tells which links connect something new."""
+    """Labels of a group's members; tells which links connect something new.
 
-    def __init__(self, n: int):
+    known: names of classes that members are known to be in (one of each class has to be met only).
+    """
+
+    def __init__(self, n: int, known: list[bytes] | None = None):
         self.label = np.arange(n)
+        if known is not None:
+            first: dict[bytes, int] = {}
+            self.label = np.array([first.setdefault(x, i) for i, x in enumerate(known)], np.int64)
 
     def add(self, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
         a, b = self.label[i], self.label[j]
@@ -250,12 +256,12 @@ class Forest:
         return left, right
 
 
-def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int = 1024, chunk: int = 128, similar=None, lot: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int = 1024, chunk: int = 128, similar=None, lot: int = 256, known: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links among fingerprints (rows of members), as row numbers; compares all pairs.
 
     similar(i, j), if given, decides the pairs within the radius that nothing links yet, up to `lot` at a time.
     """
-    forest, left, right = Forest(len(members)), [], []
+    forest, left, right = Forest(len(members), known), [], []
     for lo in range(0, len(members), block):
         stored = planes(bits_of(members[lo : lo + block]))
         for q in range(0, min(len(members), lo + block), chunk):
@@ -263,6 +269,9 @@ def links_within(members: np.ndarray, radius: int, order: np.ndarray, block: int
             i, j = i + q, lane + lo
             keep = i < j
             i, j = i[keep], j[keep]
+            if known is not None:
+                apart = forest.label[i] != forest.label[j]
+                i, j = i[apart], j[apart]
             keep = np.bitwise_count(members[i] ^ members[j]).sum(axis=1) <= radius
             i, j = i[keep], j[keep]
             while len(i):
@@ -329,32 +338,45 @@ def linked(fps: DataFrame, tables: list[np.ndarray], words: int, radius: int, ro
     return within_buckets(keyed, outside, words, radius, rows * len(tables), bucket_rows)
 
 
-def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, bucket_rows: int = 4096, similarity: float = 0.0, width: int = 0) -> DataFrame:
-    """Links (a, b) that span every class within each bucket (t, key) of keyed.
+def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, bucket_rows: int = 4096, similarity: float = 0.0, width: int = 0, across: bool = True) -> DataFrame:
+    """Links (a, b) that span every class within each bucket (t, key) of keyed, or without `across` within each part of one.
+
+    keyed: as for grouped_links, without x and y. A bucket above bucket_rows is cut into
+    parts by the hash of fp, and a member meets each part in a group of its own.
+    """
+    large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+    parts = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
+    cut = keyed.join(large, ["t", "key"], "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).drop("n")
+    if across:  # a member of part x meets each part y in the group {x, y}
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    else:
+        cut = cut.withColumn("other", F.col("own"))
+    groups = cut.select(*keyed.columns, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    return grouped_links(groups, orders, words, radius, rows, similarity, width)
+
+
+def grouped_links(groups: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, similarity: float = 0.0, width: int = 0) -> DataFrame:
+    """Links (a, b) that span every class within each group (t, key, x, y).
 
-    keyed has the columns fp (binary, the fingerprint's name), t, key and, if that is
+    groups has the columns fp (binary, the fingerprint's name), t, key, x, y and, if that is
     not fp itself, print (binary, what is compared). orders: for each t the order in
     which bits are compared. With a column text, pairs within the radius link only if
-    the texts' shingles of `width` words have the similarity.
+    the texts' shingles of `width` words have the similarity. With a column label (binary),
+    members of one label are linked already, and what links them is not looked for.
     """
-    more = [c for c in ("print", "text") if c in keyed.columns]
+    more = [c for c in ("print", "text", "label") if c in groups.columns]
     exact = "text" in more
-    large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
-    parts = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    cut = keyed.join(large, ["t", "key"], "left").select("fp", *more, "t", "key", parts.alias("parts"), own.alias("own"))
-    # a member of part x meets each part y in the group {x, y}
-    cut = cut.select("fp", *more, "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    groups = cut.select("fp", *more, "t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    parts_n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 400_000)
+    groups = groups.select("fp", *more, "t", "key", "x", "y")
+    parts_n = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 400_000)
     dealt = groups.repartition(parts_n, "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(members: list[tuple[np.ndarray, list[bytes], list[bytes]]], t: int):
-            prints = np.concatenate([p for p, _, _ in members])
-            names = [x for _, own, _ in members for x in own]
-            sets = Shingles([x for _, _, own in members for x in own], width, similarity) if exact else None
-            a, b = links_within(prints, radius, orders[t], similar=sets.similar if exact else None)
+        def emit(members: list[tuple[np.ndarray, list[bytes], list[bytes], list[bytes]]], t: int):
+            prints = np.concatenate([p for p, _, _, _ in members])
+            names = [x for _, own, _, _ in members for x in own]
+            sets = Shingles([x for _, _, own, _ in members for x in own], width, similarity) if exact else None
+            known = [x for _, _, _, own in members for x in own] if "label" in more else None
+            a, b = links_within(prints, radius, orders[t], similar=sets.similar if exact else None, known=known)
             apart = [(names[i], names[j]) for i, j in zip(a.tolist(), b.tolist()) if names[i] != names[j]]
             if apart:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in apart], pa.binary()), pa.array([y for _, y in apart], pa.binary())], ["a", "b"])
@@ -380,7 +402,7 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
             starts, ends, rest = starts[:-1], ends[:-1], int(starts[-1])
         else:
             rest = data.num_rows
-        room: list[tuple[np.ndarray, list[bytes], list[bytes]]] = []
+        room: list[tuple[np.ndarray, list[bytes], list[bytes], list[bytes]]] = []
         have, now = 0, -1
         for i, j in zip(starts.tolist(), ends.tolist()):
             if j - i < 2:
@@ -391,7 +413,7 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
                 yield from emit(room, now)
                 room, have = [], 0
             own = data.slice(i, j - i)
-            room.append((from_binary(own.column("print" if more else "fp"), words), own.column("fp").to_pylist(), bytes_list(own.column("text")) if exact else []))
+            room.append((from_binary(own.column("print" if more else "fp"), words), own.column("fp").to_pylist(), bytes_list(own.column("text")) if exact else [], own.column("label").to_pylist() if "label" in more else []))
             have, now = have + j - i, t
         if room:
             yield from emit(room, now)
@@ -405,6 +427,10 @@ def radius_of(similarity: float, words: int, deviations: float) -> int:
     return round(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
+#: Members of a class that one task compares, times the words of a fingerprint.
+GROUP_WORDS = 8192
+
+
 def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity: float, width: int, words: int = 32) -> DataFrame:
     """(node, root) of the classes that stand when pairs of the classes found are decided by their sets of shingles.
 
@@ -420,8 +446,55 @@ def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity:
     met = texts.join(one, ["none", "id", "th"]).select("fp", "th", F.xxhash64("root").alias("key"), "text")
     wide = fingerprints(met, width, words, True, name="print").checkpoint()
     keyed = wide.dropDuplicates(["fp", "th"]).select("fp", "print", F.lit(0).alias("t"), "key", "text")
-    order = np.random.default_rng(5).permutation(64 * words)
-    return components(within_buckets(keyed, [order], words, radius_of(similarity, words, 5.0), 0, similarity=similarity, width=width))
+    return components(class_links(keyed, words, radius_of(similarity, words, 5.0), similarity, width, max(2, GROUP_WORDS // words)))
+
+
+def class_links(keyed: DataFrame, words: int, radius: int, similarity: float, width: int, size: int) -> DataFrame:
+    """Links (a, b) between similar texts that span every class within each key; no task has much more than 2 * size texts of a key.
+
+    Every text meets its own part of its key. Where a key has several parts, one text of
+    the largest class of each part meets those of the other parts. By then most texts of a
+    group of near copies are one class, and what is left is between texts that are not in
+    the key's largest class: they meet each other, and they meet the parts of that class.
+    So a key of n texts costs n rows and, for each text outside its largest class, a row a
+    part, and no pair of texts goes undecided that nothing else has linked.
+    """
+    order = [np.random.default_rng(5).permutation(64 * words)]
+    how = {"orders": order, "words": words, "radius": radius, "rows": 0, "similarity": similarity, "width": width}
+    found = within_buckets(keyed, **how, bucket_rows=size, across=False).checkpoint()
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).checkpoint()
+    if large.isEmpty():
+        return found
+    parts = F.ceil(F.col("n") / size).cast("int")
+    members = keyed.join(large, "key").withColumn("parts", parts).drop("n")
+    members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).checkpoint()
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """Members with the class they are in so far."""
+        return members.join(components(links).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+
+    def largest(rows: DataFrame, *by: str) -> DataFrame:
+        """(by, label) of the class with most members."""
+        sizes = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.groupBy(*by).agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+
+    rows = labelled(found)
+    best = rows.join(largest(rows, "key", "own"), ["key", "own", "label"]).groupBy("key", "own", "label").agg(F.min("fp").alias("fp")).select("key", "fp")
+    heads = members.join(best, ["key", "fp"]).dropDuplicates(["key", "fp"]).select(*keyed.columns)
+    found = found.unionByName(within_buckets(heads, **how, bucket_rows=size)).checkpoint()
+    rows = labelled(found).checkpoint()
+    most = largest(rows, "key").withColumnRenamed("label", "most")
+    rows = rows.join(most, "key").withColumn("out", F.col("label") != F.col("most")).drop("most").checkpoint()
+    outside = rows.where("out").select(*keyed.columns, "label")
+    if outside.isEmpty():
+        return found
+    number = outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cuts"))
+    cut = rows.join(number, "key").withColumn("cut", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cuts")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = cut.where("out").withColumn("x", every("parts")).withColumn("y", F.col("cut"))
+    asked = cut.where("not out").withColumn("x", F.col("own")).withColumn("y", every("cuts"))
+    pairs = grouped_links(asking.unionByName(asked).select(*keyed.columns, "label", "x", "y"), **how)
+    return found.unionByName(pairs).unionByName(within_buckets(outside, **how, bucket_rows=size))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float | None = None, recall: float = 0.995) -> DataFrame:

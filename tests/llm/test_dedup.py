@@ -1,6 +1,7 @@
 """Byte and word windows, suffix order and SimHash against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -370,6 +371,77 @@ def test_exact_links_of_chains(lot):
     assert 6 < len(set(want)) < 100 and got == want
 
 
+@pytest.mark.parametrize("seed, size", [(0, 12), (1, 40)])
+def test_large_classes_are_cut_without_loss(spark, seed, size):
+    # two clouds of near copies, chains, and strangers, all under one key, with parts far smaller
+    rng = random.Random(seed)
+    fresh = lambda n: ["c%d" % rng.randint(0, 1 << 40) for _ in range(n)]
+    texts, clouds = [], [fresh(120), fresh(120)]
+    for i in range(90):
+        w = list(clouds[i % 3 == 0])
+        for k in rng.sample(range(120), rng.randint(0, 3)):
+            w[k] = fresh(1)[0]
+        texts.append(w)
+    for _ in range(4):  # each is similar to the one before alone
+        w = fresh(100)
+        for _ in range(6):
+            texts.append(w)
+            w = w[9:] + fresh(9)
+    texts += [fresh(60) for _ in range(20)]
+    rng.shuffle(texts)
+    texts = [" ".join(w) for w in texts]
+    prints = simhash.fingerprints_of([t.encode() for t in texts], 5, 32, True)
+    rows = [(i.to_bytes(8, "big"), bytearray(p.astype(">u8").tobytes()), 0, 7, t) for i, (p, t) in enumerate(zip(prints, texts))]
+    keyed = spark.createDataFrame([(bytearray(a), b, t, k, x) for a, b, t, k, x in rows], "fp binary, print binary, t int, key long, text string")
+    sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    links = simhash.class_links(keyed, 32, simhash.radius_of(0.8, 32, 5.0), 0.8, 5, size)
+    roots = {int.from_bytes(bytes(r.node), "big"): int.from_bytes(bytes(r.root), "big") for r in components(links).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == label
+    assert len(set(label)) > 20 and max(label.count(x) for x in set(label)) > 30
+
+
+def test_recall_by_bands(spark):
+    """Lone pairs from just at the similarity on, against what is decided by comparing all pairs."""
+    rng = random.Random(33)
+    rows, similar = [], {}
+    for i in range(900):
+        n = rng.choice([150, 400, 800])
+        w = ["w%d" % rng.randint(0, 1 << 30) for _ in range(n + 4)]
+        wanted = 0.8 + 0.2 * ((i % 90) + 0.01) / 90
+        run = max(0, int((n - 4 * wanted - n * wanted) / (1 + wanted)))  # a run of changed words changes run + 4 shingles
+        at = rng.randint(4, n - run)
+        v = w[:at] + ["c%d" % rng.randint(0, 1 << 30) for _ in range(run)] + w[at + run :]
+        sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w, v)]
+        similar[i] = (len(sets[0] & sets[1]), len(sets[0] | sets[1]))
+        rows += [(i, " ".join(w)), (10_000 + i, " ".join(v))]
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), similarity=0.8).collect()}
+    bands = {}
+    for i, (both, whole) in similar.items():
+        if 10 * both >= 8 * whole:
+            bands.setdefault(min(3, int((both / whole - 0.8) / 0.05)), []).append(classes[10_000 + i] == i)
+        else:
+            assert classes[10_000 + i] == 10_000 + i
+    assert sorted(bands) == [0, 1, 2, 3] and all(len(x) > 100 for x in bands.values())
+    assert all(np.mean(x) >= 0.97 for x in bands.values()), {k: np.mean(x) for k, x in bands.items()}
+
+
+def test_probability_of_a_lone_pair():
+    """The product of what can lose a pair of just the similarity: the tables and the two radii."""
+    p = simhash.differing(0.8)
+    for n in (10**4, 10**6, 10**8):
+        tables = simhash.random_tables(n, 0.8, 4, 0.995)
+        lost = np.prod([1 - (1 - p) ** len(t) for t in tables])
+        within = lambda bits, radius: sum(math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log(1 - p)) for k in range(radius + 1))
+        product = (1 - lost) * within(256, simhash.radius_of(0.8, 4, 3.0)) * within(2048, simhash.radius_of(0.8, 32, 5.0))
+        assert product > 0.99
+
+
 def test_keep_one(spark):
     rows = odd_rows()
     kept = simhash.keep_one(table(spark, rows))
