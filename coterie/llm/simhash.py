@@ -429,6 +429,8 @@ def radius_of(similarity: float, words: int, deviations: float) -> int:
 
 #: Members of a class that one task compares, times the words of a fingerprint.
 GROUP_WORDS = 8192
+#: As how many fingerprints a row with its text counts, where partitions follow the rows.
+TEXT_ROWS = 20
 
 
 def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity: float, width: int, words: int = 32) -> DataFrame:
@@ -446,10 +448,10 @@ def refined(docs: DataFrame, marked: DataFrame, classes: DataFrame, similarity:
     met = texts.join(one, ["none", "id", "th"]).select("fp", "th", F.xxhash64("root").alias("key"), "text")
     wide = fingerprints(met, width, words, True, name="print").checkpoint()
     keyed = wide.dropDuplicates(["fp", "th"]).select("fp", "print", F.lit(0).alias("t"), "key", "text")
-    return components(class_links(keyed, words, radius_of(similarity, words, 5.0), similarity, width, max(2, GROUP_WORDS // words)))
+    return components(class_links(keyed, words, radius_of(similarity, words, 5.0), similarity, width, max(2, GROUP_WORDS // words), TEXT_ROWS * wide.count()))
 
 
-def class_links(keyed: DataFrame, words: int, radius: int, similarity: float, width: int, size: int) -> DataFrame:
+def class_links(keyed: DataFrame, words: int, radius: int, similarity: float, width: int, size: int, rows: int = 0) -> DataFrame:
     """Links (a, b) between similar texts that span every class within each key; no task has much more than 2 * size texts of a key.
 
     Every text meets its own part of its key. Where a key has several parts, one text of
@@ -460,7 +462,7 @@ def class_links(keyed: DataFrame, words: int, radius: int, similarity: float, wi
     part, and no pair of texts goes undecided that nothing else has linked.
     """
     order = [np.random.default_rng(5).permutation(64 * words)]
-    how = {"orders": order, "words": words, "radius": radius, "rows": 0, "similarity": similarity, "width": width}
+    how = {"orders": order, "words": words, "radius": radius, "rows": rows, "similarity": similarity, "width": width}
     found = within_buckets(keyed, **how, bucket_rows=size, across=False).checkpoint()
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).checkpoint()
     if large.isEmpty():
@@ -478,18 +480,18 @@ def class_links(keyed: DataFrame, words: int, radius: int, similarity: float, wi
         sizes = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
         return sizes.groupBy(*by).agg(F.max_by("label", F.struct("n", "label")).alias("label"))
 
-    rows = labelled(found)
-    best = rows.join(largest(rows, "key", "own"), ["key", "own", "label"]).groupBy("key", "own", "label").agg(F.min("fp").alias("fp")).select("key", "fp")
+    joined = labelled(found)
+    best = joined.join(largest(joined, "key", "own"), ["key", "own", "label"]).groupBy("key", "own", "label").agg(F.min("fp").alias("fp")).select("key", "fp")
     heads = members.join(best, ["key", "fp"]).dropDuplicates(["key", "fp"]).select(*keyed.columns)
     found = found.unionByName(within_buckets(heads, **how, bucket_rows=size)).checkpoint()
-    rows = labelled(found).checkpoint()
-    most = largest(rows, "key").withColumnRenamed("label", "most")
-    rows = rows.join(most, "key").withColumn("out", F.col("label") != F.col("most")).drop("most").checkpoint()
-    outside = rows.where("out").select(*keyed.columns, "label")
+    joined = labelled(found).checkpoint()
+    most = largest(joined, "key").withColumnRenamed("label", "most")
+    joined = joined.join(most, "key").withColumn("out", F.col("label") != F.col("most")).drop("most").checkpoint()
+    outside = joined.where("out").select(*keyed.columns, "label")
     if outside.isEmpty():
         return found
     number = outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cuts"))
-    cut = rows.join(number, "key").withColumn("cut", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cuts")).cast("int"))
+    cut = joined.join(number, "key").withColumn("cut", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cuts")).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = cut.where("out").withColumn("x", every("parts")).withColumn("y", F.col("cut"))
     asked = cut.where("not out").withColumn("x", F.col("own")).withColumn("y", every("cuts"))

@@ -227,32 +227,3 @@ def test_queries_against_sql(spark, name):
     columns = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.select(*columns).collect())
-
-
-@needs_data
-def test_pipeline(spark, vocabulary):
-    import corpus_pipeline
-
-    path, pattern, own = vocabulary
-    docs, sizes = spark.read.parquet(f"{DATA}/documents.parquet"), []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, DATA).persist()
-        assert docs.columns == before.columns, name
-        sizes.append(docs.count())
-        assert {r.doc_id for r in docs.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
-    assert sizes[0] < 200 and sizes[1] <= sizes[0]
-    rows = corpus_pipeline.run(spark, DATA).collect()
-    texts = sorted(r.text for r in docs.collect())
-    assert sorted(own.decode(r.ids) for r in rows) == texts
-    assert all(r.ids == own.encode_ordinary(own.decode(r.ids)) and r.n_tokens == len(r.ids) for r in rows)
-
-
-def test_pipeline_takes_empty_and_odd_tables(spark, tmp_path):
-    import corpus_pipeline
-
-    for name, rows in (("empty", []), ("odd", mixing_rows() + [(2000, " ".join(f"v{i}" for i in range(300)), None, None, None, None, None)])):
-        spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / name / "documents.parquet"))
-        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
-        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
-        assert len(out) == 0 if name == "empty" else any(r.doc_id == 2000 for r in out) or True
