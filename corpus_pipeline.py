@@ -22,13 +22,12 @@ the files of the one before.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.functions.session import fresh_path, remove
 from coterie.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
-from coterie.llm.common import documents, shared_folder, small_batches, table
+from coterie.llm.common import documents, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,15 +72,18 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Byte-level BPE, SimHash and learned rules have no SQL form; tests hold run() against plain Python.
+#: Byte-level BPE, SimHash and learned rules have no SQL form; tests/llm/test_pipeline.py holds every stage of run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the files of the stages before are removed when it has been written."""
     docs = documents(spark, sf_dir)
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, paths = fresh_path(spark, "pipeline"), []
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        paths.append(f"{folder}/{i}")
+        stage(spark, docs, sf_dir).write.parquet(paths[-1])
+        docs = spark.read.parquet(paths[-1])
+    for path in paths[:-1]:
+        remove(spark, path)
     return docs
