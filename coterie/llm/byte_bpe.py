@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from coterie.llm.common import documents, sub_batches, tidied
 
 #: Characters a leaf of the text tree has, bytes a leaf of the merge tree has.
-TEXT_LEAF, MERGE_LEAF = 4096, 24
-#: Characters after a match's start that can decide the match: an apostrophe and two letters.
+TEXT_LEAF, MERGE_LEAF = 4096, 12
+#: Characters after a match's start that can decide which kind of match it is: an apostrophe and two letters
+#: in the usual pattern. For a pattern that looks further, `lookahead` must be raised.
 LOOKAHEAD = 3
 #: Entries of the caches in a worker.
 CACHE = 600_000
@@ -70,8 +71,8 @@ class Pieces(dict):
 class Codec:
     """The encoder and decoder of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, lookahead: int = LOOKAHEAD):
+        self.ranks, self.pattern, self.lookahead = ranks, regex.compile(pattern), lookahead
         self._pieces = Pieces(self.encode_piece)
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         size = max(ranks.values()) + 1
@@ -149,7 +150,7 @@ class Codec:
         at = mid
         while left:  # drop what the right side could change
             start = at - len(left[-1])
-            if at < mid and start + LOOKAHEAD <= mid:
+            if at < mid and start + self.lookahead <= mid:
                 break
             left.pop()
             at = start
@@ -159,7 +160,7 @@ class Codec:
             pos, j, bound, seam = at, 0, mid, []
             for match in self.pattern.finditer(text[at:end]):
                 start, stop = at + match.start(), at + match.end()
-                if end < hi and (stop >= end or start + LOOKAHEAD > end):
+                if end < hi and (stop >= end or start + self.lookahead > end):
                     break
                 seam.append(match[0])
                 pos = stop
@@ -196,14 +197,14 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
+def codec(path: str, pattern: str, lookahead: int = LOOKAHEAD) -> Codec:
+    key = path, pattern, lookahead
+    if key not in _CODECS:
+        _CODECS[key] = Codec(read_ranks(path), pattern, lookahead)
+    return _CODECS[key]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
-    own = codec(path, pattern)
+def _encoded(batches: Iterator[pa.RecordBatch], own: Codec, text: str, ids: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = [c for c in batch.schema.names if c != ids]
         for part in sub_batches(batch, text):
@@ -213,8 +214,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: s
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), array], [*kept, ids])
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ids: str, decoded: str) -> Iterator[pa.RecordBatch]:
-    own = codec(path, pattern)
+def _decoded(batches: Iterator[pa.RecordBatch], own: Codec, ids: str, decoded: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = [c for c in batch.schema.names if c != decoded]
         for at in range(0, batch.num_rows, 256):
@@ -233,19 +233,24 @@ def _with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name not in names), *(T.StructField(n, kind, False) for n, kind in fields)])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", lookahead: int = LOOKAHEAD) -> DataFrame:
     """Adds the column `ids` (array<int>) for the column `text`; `path` must be readable on every executor."""
-    return df.mapInArrow(tidied(lambda batches: _encoded(batches, path, pattern, text, ids)), _with(df, (ids, IDS)))
+    return df.mapInArrow(tidied(lambda batches: _encoded(batches, codec(path, pattern, lookahead), text, ids)), _with(df, (ids, IDS)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the column `decoded` (binary) for the column `ids`; null ids decode to no bytes."""
-    return df.mapInArrow(tidied(lambda batches: _decoded(batches, path, pattern, ids, decoded)), _with(df, (decoded, DECODED)))
+    return df.mapInArrow(tidied(lambda batches: _decoded(batches, codec(path, pattern), ids, decoded)), _with(df, (decoded, DECODED)))
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", lookahead: int = LOOKAHEAD) -> DataFrame:
     """encode, then decode of its ids, in one worker."""
-    return df.mapInArrow(tidied(lambda batches: _decoded(_encoded(batches, path, pattern, text, ids), path, pattern, ids, decoded)), _with(df, (ids, IDS), (decoded, DECODED)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern, lookahead)
+        return _decoded(_encoded(batches, own, text, ids), own, ids, decoded)
+
+    return df.mapInArrow(tidied(run), _with(df, (ids, IDS), (decoded, DECODED)))
 
 
 def digest(ids: str = "ids"):

@@ -30,7 +30,7 @@ def odd_texts(n=400):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(n)] + ["", "a" * 5000, " " * 3000 + "x", "theand" * 800, "'" * 1000, "\n \n" * 500, "don't we'll they've I'D"]
 
 
-@pytest.mark.parametrize("text_leaf, merge_leaf", [(3, 2), (16, 5), (4096, 24)])
+@pytest.mark.parametrize("text_leaf, merge_leaf", [(3, 2), (16, 5), (4096, 12)])
 def test_bpe_is_the_library_s(monkeypatch, vocabulary, text_leaf, merge_leaf):
     path, pattern, own = vocabulary
     monkeypatch.setattr(byte_bpe, "TEXT_LEAF", text_leaf)
