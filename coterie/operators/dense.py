@@ -15,10 +15,11 @@ step is written to the checkpoint folder, which also keeps the plans short.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from coterie.functions.session import shared_folder
 from coterie.operators.counting import checked, item_rank
 
 FOUND = "items array<int>, support bigint, maximal boolean"
+#: Sets in a batch of what a task sends.
+OUT_ROWS = 10_000
 
 
 def search(rows: list[np.ndarray], weights: np.ndarray, count: int, parent: list[int], item: int) -> Iterator[tuple[list[int], int, bool]]:
@@ -69,14 +72,17 @@ def closed_sets(bk: DataFrame, count: int, task_rows: int = 20_000) -> DataFrame
     weighted = coded.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
     tasks = weighted.select(F.array().cast("array<int>").alias("parent"), F.explode("b").alias("j"), "b", "w").withColumn("task", F.col("j").cast("string")).checkpoint()
 
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
-        found = search([np.asarray(b) for b in frame["b"]], frame["w"].to_numpy(np.int64), count, list(frame["parent"].iloc[0]), int(frame["j"].iloc[0]))
-        return pd.DataFrame(list(found), columns=["items", "support", "maximal"])
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))  # task_rows baskets at most
+        found = search(t.column("b").to_numpy(), t.column("w").to_numpy(), count, t.column("parent")[0].as_py(), t.column("j")[0].as_py())
+        while some := list(itertools.islice(found, OUT_ROWS)):  # what is found has no bound, so it leaves as it comes
+            items, support, maximal = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.int32())), pa.array(support, pa.int64()), pa.array(maximal, pa.bool_())], ["items", "support", "maximal"])
 
     out = []
     while True:
         sizes = tasks.groupBy("task").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("total")).where(F.col("total") >= count)
-        out.append(tasks.join(sizes.where(F.col("rows") <= task_rows).select("task"), "task").groupBy("task").applyInPandas(local, FOUND))
+        out.append(tasks.join(sizes.where(F.col("rows") <= task_rows).select("task"), "task").groupBy("task").applyInArrow(local, FOUND))
         large = tasks.join(sizes.where(F.col("rows") > task_rows).select("task", "total"), "task").checkpoint()
         if large.isEmpty():
             break
