@@ -2,9 +2,9 @@
 
 `windows` has the method: a count-min prefilter over all documents, then exact
 grouping of the windows that it could not rule out. A window's key has 128 bits: two
-hashes of its words in order, each over its own 64 of the 128 bits that XXH3 gives for
-the bytes of a word, with a full mix at every step. Words are not compared again: among
-10^14 windows the chance that any two different ones share a key is below 10^-10.
+hashes of its words in order, each over a word hash of its own, with a full mix at every
+step. Words are not compared again: among 10^14 windows the chance that any two different
+ones share a key is below 10^-10.
 
 Edge cases: a null text has no words; documents shorter than the window lose
 nothing; a window found twice in one document counts; equal rows remove each

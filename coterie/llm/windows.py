@@ -148,30 +148,44 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return joined, lo, hi, np.diff(np.searchsorted(lo, ends), prepend=0)
 
 
-class Digests(dict):
-    """128 bits of each word (XXH3), made when missing; long words are not kept, and all go when there are many."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(BASES[1])
+    return x ^ (x >> np.uint64(32))
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = xxhash.xxh3_128_digest(word)
-        if len(word) <= 64:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = found
-        return found
 
+def _blended(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mixed(a * np.uint64(BASES[0]) + b * np.uint64(BASES[2]))
 
-_DIGESTS = Digests()
 
+#: The bytes of a word that are kept of eight, by how many it has there.
+_FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """(words, 2): two independent hashes of each word's bytes."""
-    return np.frombuffer(b"".join([_DIGESTS[w] for w in words]), np.uint64).reshape(-1, 2)
+
+def word_hashes(joined: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(words, 2): two independent 64-bit hashes of the bytes of each word joined[lo:hi].
+
+    Up to 16 bytes and their number are mixed whole, in another order for each hash; a longer
+    word has XXH3. Nothing is a sum over places, in which changes could cancel out.
+    """
+    padded = np.zeros(len(joined) + 16, np.uint8)
+    padded[: len(joined)] = joined
+    eight = np.ndarray((len(joined) + 9,), "<u8", padded, strides=(1,))  # the 8 bytes from each place
+    size = hi - lo
+    front, rest = eight[lo] & _FRONT[np.minimum(size, 8)], eight[lo + 8 * (size > 8)] & _FRONT[np.clip(size - 8, 0, 8)]
+    number = size.astype(np.uint64)
+    out = np.empty((len(lo), 2), np.uint64)
+    out[:, 0] = _blended(_mixed(front ^ number * np.uint64(BASES[1])), rest)
+    out[:, 1] = _blended(_mixed(rest ^ (number + np.uint64(77)) * np.uint64(BASES[2])), _mixed(front ^ np.uint64(BASES[1])))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = np.frombuffer(xxhash.xxh3_128_digest(joined[lo[i] : hi[i]].tobytes()), np.uint64)
+    return out
 
 
 def word_lanes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """word_hashes of all words of the texts, and how many each text has."""
-    words = [t.split() for t in texts]  # bytes are split at the six ASCII white-space bytes
-    return word_hashes([w for own in words for w in own]), np.fromiter(map(len, words), np.int64, len(words))
+    joined, lo, hi, sizes = word_places(texts)
+    return word_hashes(joined, lo, hi), sizes
 
 
 def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,13 +193,6 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return lanes[:, 0].copy(), sizes
 
 
-def _blended(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(BASES[0]) + b * np.uint64(BASES[2])
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(BASES[1])
-    return x ^ (x >> np.uint64(32))
-
-
 def window_keys(units: np.ndarray, window: int) -> np.ndarray:
     """A hash of the units of each window: runs of 1, 2, 4, ... units are blended pair by pair, the last two overlapping.
 

@@ -148,7 +148,7 @@ def test_words_of_cancelling_letters_differ(spark, length):
 
 
 def test_window_keys_of_cancelling_words_differ():
-    one, two = (np.array([windows.word_hashes([c.encode()])[0, 0] for c in x]) for x in complementary(2048))
+    one, two = (windows.word_units([" ".join(x).encode()])[0] for x in complementary(2048))
     assert windows.window_keys(one, 2048)[0] != windows.window_keys(two, 2048)[0]
     units = np.random.default_rng(0).integers(0, 9, 300).astype(np.uint64)
     for window in (1, 2, 3, 7, 35, 64, 299, 300):
@@ -160,6 +160,20 @@ def test_window_keys_of_cancelling_words_differ():
     assert len(windows.window_keys(units[:5], 8)) == 0
 
 
+def test_word_hashes():
+    rng = random.Random(3)
+    words = ["x" * n for n in range(1, 40)] + ["xxxxxxxAxxxxxxxA", "xxxxxxxaxxxxxxxa", "xxxxxxxaxxxxxxxA", "xxxxxxxAxxxxxxxa", "\0", "\0\0", "a", "a\0", "\0a"]
+    words += ["".join(rng.choice("abAB") for _ in range(rng.randint(1, 20))) for _ in range(20_000)]
+    lanes, sizes = windows.word_lanes([" ".join(words[:5000]).encode(), b"", " \n".join(words[5000:]).encode()])
+    assert sizes.tolist() == [5000, 0, len(words) - 5000]
+    for k in (0, 1):
+        of = {}
+        assert all(of.setdefault(w, h) == h for w, h in zip(words, lanes[:, k].tolist())) and len(set(of.values())) == len(of)
+    assert not (lanes[:, 0] == lanes[:, 1]).any()
+    one = windows.word_lanes([words[20].encode()])[0]
+    assert (one[0] == lanes[20]).all()  # wherever a word stands
+
+
 def test_rows_without_ids_stay_apart(spark):
     n = 100_000
     df = spark.range(n).repartition(8).selectExpr("cast(null as long) as doc_id", "array_join(transform(sequence(1, 36), k -> concat(cast(id as string), '-', k)), ' ') as text")
