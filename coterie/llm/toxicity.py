@@ -15,7 +15,8 @@ Only fitting uses a sample: about `max_labelled` labelled texts taken by hash, a
 that has fewer than half of them whole, of which the driver receives a few windows each
 (a bound holds even where one id is on most rows). Word statistics of the sample (of
 `MOST_WORDS` words at most) choose them: the most telling one of a toxic text, the most
-telling and other ones of the rest. The two numbers are fitted with weights that give
+telling and other ones of the rest. In a second round the network itself chooses, and
+training goes on with those. The two numbers are fitted with weights that give
 the classes their shares among all labels. Scoring covers every word of every text.
 
 Edge cases: a null or empty text is one window without words, whose logit is the
@@ -56,9 +57,8 @@ class Words:
     """The distinct words of some texts as inputs: word bucket, trigram buckets and where they begin, bytes."""
 
     def __init__(self, texts: list[bytes]):
-        lowered = [t.lower() for t in texts]
-        joined, lo, hi, self.sizes = word_places(lowered)
-        hashes = word_hashes([w for t in lowered for w in t.split()])[:, 0]
+        joined, lo, hi, self.sizes = word_places([t.lower() for t in texts])
+        hashes = word_hashes(joined, lo, hi)[:, 0]
         self.hashes, at, self.index = np.unique(hashes, return_index=True, return_inverse=True)
         lo, hi = lo[at], hi[at]
         room = hi - lo
@@ -220,7 +220,11 @@ class Network:
 
     def text_logits(self, texts: list[bytes]) -> np.ndarray:
         """The highest logit of each text's windows."""
-        w = Words(texts)
+        owner, logits = self.logits(Words(texts))
+        return np.maximum.reduceat(logits, np.flatnonzero(np.diff(owner, prepend=-1))) if len(owner) else logits
+
+    def logits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(text, logit) of every window, in the order of window_starts."""
         owner, first, lens = window_starts(w.sizes)
         begin = np.cumsum(w.sizes) - w.sizes
         x = np.concatenate([self.inputs(w), np.zeros((1, INPUT), np.float32)])  # the last row stands where a window has no word
@@ -234,7 +238,7 @@ class Network:
             own = index[place]
             states = np.concatenate([self.read(projected[s], own, lens[sl], s) for s in "fb"], axis=2)
             logits[sl] = self.pool(states, lens[sl])[2]
-        return np.maximum.reduceat(logits, np.flatnonzero(np.diff(owner, prepend=-1))) if len(owner) else logits
+        return owner, logits
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale * logits.astype(np.float64) + self.shift)
@@ -247,10 +251,14 @@ def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[r[cut]] += np.add.reduceat(values[order], cut, axis=0)
 
 
-def train(windows: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 3, least_steps: int = 600) -> Network:
-    """Adam on the windows' cross-entropy, the classes weighing the same; few windows are gone through more often."""
+def train(windows: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 3, least_steps: int = 200, net: Network | None = None, hidden: float = 0.5) -> Network:
+    """Adam on the windows' cross-entropy, the classes weighing the same; few windows are gone through more often. Goes on with net if it is given.
+
+    hidden: the share of words that enter a step without the embedding of their hash, so that
+    spellings are learned from and words of single texts are not learned by heart.
+    """
     epochs = max(epochs, -(-least_steps * batch // max(len(windows), 1)))
-    net, rng = Network.fresh(seed), np.random.default_rng(seed)
+    net, rng = net or Network.fresh(seed), np.random.default_rng(seed)
     w = Words(windows)
     begin = np.cumsum(w.sizes) - w.sizes
     lens = np.minimum(w.sizes, WIDTH)
@@ -275,14 +283,15 @@ def train(windows: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int
             starts = np.cumsum(n) - n
             x, spelling = np.zeros((len(used), INPUT), np.float32), []
             if len(real):
-                x[: len(real), :DIM] = net.p["words"][w.bucket[real]]
+                seen = rng.random(len(real)) >= hidden
+                x[: len(real), :DIM] = net.p["words"][w.bucket[real]] * seen[:, None]
                 x[: len(real), DIM : 2 * DIM] = np.add.reduceat(net.p["grams"][grams], starts, axis=0) / n[:, None].astype(np.float32)
                 x[: len(real), 2 * DIM :] = net.spelled(w.joined, w.lo[real], n, spelling)
             g, dx = net.gradients(x, own, lens[rows], y[rows], weight[rows])
             g |= net.spelling_gradients(n, spelling, dx[: len(real), 2 * DIM :])
             g["words"], g["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
             if len(real):
-                _scatter(g["words"], w.bucket[real], dx[: len(real), :DIM])
+                _scatter(g["words"], w.bucket[real], dx[: len(real), :DIM] * seen[:, None])
                 _scatter(g["grams"], grams, np.repeat(dx[: len(real), DIM : 2 * DIM] / n[:, None].astype(np.float32), n, axis=0))
             step += 1
             for k, v in net.p.items():
@@ -293,20 +302,32 @@ def train(windows: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int
 
 
 def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int = 200) -> None:
-    """Fits scale and shift of the texts' logits, each text with its weight, by Newton steps with a small ridge."""
+    """Fits scale and shift of the texts' logits, each text with its weight, with a small ridge.
+
+    Newton steps on a convex loss, each halved until the loss falls: where the classes are
+    far apart the loss is nearly flat, and whole steps would leave for good.
+    """
     x = np.stack([logits.astype(np.float64), np.ones(len(logits))], axis=1)
-    b = np.array([1.0, 0.0])
+    start, ridge = np.array([1.0, 0.0]), 1e-3
+
+    def loss(b: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ b))).sum() + ridge / 2 * ((b - start) ** 2).sum())
+
+    b, now = start.copy(), loss(start)
     for _ in range(steps):
         p = sigmoid(x @ b)
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (weight * (labels - p)) - 1e-3 * (b - [1.0, 0.0]))
-        b = b + np.clip(move, -1, 1)
-        if np.abs(move).max() < 1e-9:
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        move = np.linalg.solve(h, x.T @ (weight * (labels - p)) - ridge * (b - start))
+        while np.abs(move).max() > 1e-9 and not loss(b + move) < now:
+            move = move / 2
+        if np.abs(move).max() <= 1e-9:
             break
+        b = b + move
+        now = loss(b)
     net.scale, net.shift = max(float(b[0]), 1e-3), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str = "toxic", windows_of_clean: int = 3, seed: int = 3) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str = "toxic", windows_of_clean: int = 3, rounds: int = 2, seed: int = 3) -> Network | float:
     """The network, or the share of toxic labels where there is nothing to tell apart."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -341,33 +362,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label: str
     order = np.argsort(told["word"][strong].to_numpy())
     words, telling = told["word"][strong].to_numpy(np.int64)[order], (odds * np.minimum(many / 4, 1))[strong].to_numpy(float)[order]
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in sub_batches(batch, "text", CHUNK):
-                texts = bytes_list(rows.column(0))
-                out, ys = [], []
-                for text, y in zip(texts, rows.column(1).to_pylist()):
-                    own, w = text.split(), Words([text])
-                    found = np.searchsorted(words, w.hashes.view(np.int64)) if len(words) else np.zeros(len(w.hashes), int)
-                    hit = (words[np.minimum(found, len(words) - 1)] == w.hashes.view(np.int64)) if len(words) else np.zeros(len(w.hashes), bool)
-                    value = np.where(hit, telling[np.minimum(found, len(words) - 1)], 0.0) if len(words) else np.zeros(len(w.hashes))
-                    sums = np.concatenate([[0], np.cumsum(value[w.index])])
-                    _, first, lens = window_starts(w.sizes)
-                    score = sums[first + lens] - sums[first]
-                    best = int(score.argmax())
-                    take = [best] if y else list(dict.fromkeys([best, *(int(i) for i in np.linspace(0, len(first) - 1, windows_of_clean).astype(int))]))
-                    for i in take:
-                        out.append(b" ".join(own[first[i] : first[i] + lens[i]]))
-                        ys.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ys, pa.int32())], ["window", "y"])
-
-    # the limits only bind where some doc_id is on very many rows
-    chosen = sample.mapInArrow(choose, "window binary, y int").limit(2 * max_labelled * (1 + windows_of_clean)).toPandas()
-    if chosen["y"].nunique() < 2:
-        return float(counts[1] / total)
-    chosen["window"] = chosen["window"].map(bytes)
-    chosen = chosen.sort_values(["y", "window"], kind="stable")
-    net = train(chosen["window"].tolist(), chosen["y"].to_numpy(), seed=seed)
+    def chosen(net: Network | None) -> tuple[list[bytes], np.ndarray]:
+        """Windows to learn from: the one of each text that is most telling by its words, or by the network so far, and others of clean texts."""
+        sent = docs.sparkSession.sparkContext.broadcast((words, telling, net))
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, telling, net = sent.value
+            for batch in batches:
+                for rows in sub_batches(batch, "text", CHUNK):
+                    texts = bytes_list(rows.column(0))
+                    out, ys = [], []
+                    for text, y in zip(texts, rows.column(1).to_pylist()):
+                        own, w = text.split(), Words([text])
+                        _, first, lens = window_starts(w.sizes)
+                        if net is not None:
+                            score = net.logits(w)[1]
+                        else:
+                            found = np.minimum(np.searchsorted(words, w.hashes.view(np.int64)), max(len(words) - 1, 0))
+                            value = np.where(words[found] == w.hashes.view(np.int64), telling[found], 0.0) if len(words) else np.zeros(len(w.hashes))
+                            sums = np.concatenate([[0], np.cumsum(value[w.index])])
+                            score = sums[first + lens] - sums[first]
+                        best = int(score.argmax())
+                        take = [best] if y else list(dict.fromkeys([best, *(int(i) for i in np.linspace(0, len(first) - 1, windows_of_clean).astype(int))]))
+                        for i in take:
+                            out.append(b" ".join(own[first[i] : first[i] + lens[i]]))
+                            ys.append(y)
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ys, pa.int32())], ["window", "y"])
+
+        # the limits only bind where some doc_id is on very many rows
+        got = sample.mapInArrow(choose, "window binary, y int").limit(2 * max_labelled * (1 + windows_of_clean)).toPandas()
+        got["window"] = got["window"].map(bytes)
+        got = got.sort_values(["y", "window"], kind="stable")
+        return got["window"].tolist(), got["y"].to_numpy()
+
+    net = None
+    for nth in range(rounds):
+        windows, y = chosen(net)
+        if len(set(y.tolist())) < 2:
+            return float(counts[1] / total)
+        net = train(windows, y, seed=seed + nth, net=net)
     scored = logits_of(sample, net).select("logit", "y").limit(2 * max_labelled).toPandas().sort_values(["y", "logit"], kind="stable")
     y = scored["y"].to_numpy()
     calibrate(net, scored["logit"].to_numpy(), y, np.where(y == 1, counts[1] / take[1], counts[0] / take[0]) * (take[0] + take[1]) / total)

@@ -13,7 +13,7 @@ from coterie.llm.common import held_out
 from coterie.llm.windows import word_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-DATA = "/root/testdata/sf0.01"
+DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
 
@@ -311,7 +311,7 @@ def looped_logit(net, text):
         return out
 
     def vector(word):
-        bucket = (int(word_hashes([word])[0, 0]) >> 40) % toxicity.WORDS
+        bucket = (int(word_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0, 0]) >> 40) % toxicity.WORDS
         padded, grams = b"\n" + word + b"\n", []
         for i in range(len(word)):
             code = padded[i] * 65536 + padded[i + 1] * 256 + padded[i + 2]
@@ -352,6 +352,20 @@ def test_scores_by_loops(spark):
     assert [r.predicted for r in rows] == [int(r.score >= 0.5) for r in rows]
 
 
+@pytest.mark.parametrize("apart", [0.1, 1, 5, 9, 40, 400])
+def test_calibration_tells_classes_apart(apart):
+    rng = np.random.default_rng(1)
+    y = (rng.random(3000) < 0.1).astype(int)
+    logits = np.where(y == 1, apart, -apart) + rng.normal(0, 0.7, 3000)
+    weight = np.where(y == 1, 0.4, 1.1)
+    net = toxicity.Network({})
+    toxicity.calibrate(net, logits, y, weight)
+    p = net.probability(logits)
+    assert abs((weight * p).sum() - (weight * y).sum()) < 0.02 * (weight * y).sum() + 1
+    if apart >= 5:
+        assert ((p >= 0.5) == (y == 1)).all()
+
+
 def test_a_rare_class_is_learned_whole(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["ba", "lo", "mi", "ke", "su", "ri"]) for _ in range(20)) + (" vileword" if i % 100 == 0 else "")) for i in range(2000)]
@@ -373,6 +387,14 @@ def test_windows_cover_every_word():
         assert seen.all() and (owner == t).sum() >= 1
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="the driver's tables are not here")
+def test_toxicity_held_out(spark):
+    docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    net = toxicity.fit(docs, labels.where(~held_out()))
+    rows = toxicity.score(docs.where(held_out()), net).join(labels, "doc_id").where("toxic is not null").toPandas()
+    assert rows[rows.toxic == 1].predicted.mean() >= 0.75 and rows[rows.toxic == 0].predicted.mean() <= 0.02
+
+
 def test_toxicity_learns_and_takes_anything(spark):
     rng = random.Random(2)
     words = ["ba", "lo", "mi", "ke", "su", "ri", "to", "na"]
