@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +37,12 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(rows: DataFrame, *paths: str) -> DataFrame:
+    """The rows written to the checkpoint folder, so that the folders they were read from can go."""
+    shared_folder(rows.sparkSession)
+    out = rows.checkpoint()
+    for path in paths:
+        remove(rows.sparkSession, path)
+    return out

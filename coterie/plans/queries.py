@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie import __main__ as cli
-from coterie.functions.session import fresh_path
+from coterie.functions.session import fresh_path, settled
 from coterie.operators import counting, dense, mining, quadtree, report, rules, spatial, tree
 from coterie.plans import tables
 from coterie.sources import objects as object_files
@@ -209,7 +209,7 @@ def itemset_files(spark, sf_dir):
     bk, _, t = order_type(spark, sf_dir)
     path = fresh_path(spark, "itemsets")
     report.write_lines(mining.mine(bk, t, "frequent", True), path)
-    return mining.rows_of(report.read_lines(spark, path))
+    return settled(mining.rows_of(report.read_lines(spark, path)), path)
 
 
 def _of_files(bk: DataFrame) -> DataFrame:
@@ -225,14 +225,14 @@ def text_files(spark, sf_dir):
     """An order's supplier groups, written as lines of numbers and read again."""
     path = fresh_path(spark, "lines")
     transactions.write_text(_suppliers(spark, sf_dir), path)
-    return _of_files(transactions.read_text(spark, path))
+    return settled(_of_files(transactions.read_text(spark, path)), path)
 
 
 def binary_files(spark, sf_dir):
     """The same baskets, written as binary records and read again."""
     path = fresh_path(spark, "records")
     transactions.write_binary(_suppliers(spark, sf_dir), path)
-    return _of_files(transactions.read_binary(spark, path))
+    return settled(_of_files(transactions.read_binary(spark, path)), path)
 
 
 def _command(mode: str) -> Query:
@@ -243,7 +243,7 @@ def _command(mode: str) -> Query:
         read, written = fresh_path(spark, "lines"), fresh_path(spark, "mined")
         transactions.write_text(bk, read)
         cli.mine_file(spark, read, counting.min_count(bk.count(), 1, 150), written, mode)
-        return mining.rows_of(cli.lines_of_file(spark, written))
+        return settled(mining.rows_of(cli.lines_of_file(spark, written)), read, written)
 
     return query
 
@@ -274,7 +274,7 @@ def spatial_keyword_files(spark, sf_dir):
     of, qf = fresh_path(spark, "objects"), fresh_path(spark, "queries")
     object_files.write_objects(tables.objects(spark, sf_dir), of)
     object_files.write_queries(tables.box_queries(spark), qf)
-    return spatial.spatial_keyword_query(object_files.read_objects(spark, of), object_files.read_queries(spark, qf), *tables.GRID)
+    return settled(spatial.spatial_keyword_query(object_files.read_objects(spark, of), object_files.read_queries(spark, qf), *tables.GRID), of, qf)
 
 
 def _frequent_keywords(spark, sf_dir) -> DataFrame:
@@ -301,7 +301,7 @@ def box_query_layout(spark, sf_dir):
     """Objects laid out by quadtree leaf; each box reads the leaves it meets."""
     path = fresh_path(spark, "layout")
     quadtree.write_layout(tables.objects(spark, sf_dir), path, tables.BOUNDS, 10 * tables.CAPACITY, tables.DEPTH)
-    return quadtree.box_query_layout(spark, path, tables.BOXES).select("qid", "id")
+    return settled(quadtree.box_query_layout(spark, path, tables.BOXES).select("qid", "id"), path)
 
 
 def grid_cells(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.functions.session import fresh_path
+from coterie.functions.session import fresh_path, settled
 
 
 def item_counts(stream: DataFrame, item: str) -> DataFrame:
@@ -30,8 +30,8 @@ def stream_of_files(spark: SparkSession, path: str) -> DataFrame:
 def final_table(spark: SparkSession, counts: DataFrame) -> DataFrame:
     """Runs a streaming aggregation over all there is and returns the table it ends with.
 
-    Progress, state and result are in the shared folder: a run that is started again goes on
-    where it was, and no result passes through the driver.
+    Progress, state and result are in the shared folder, so a lost executor costs no more than
+    a batch, and no result passes through the driver; progress and state go when the run has ended.
     """
     folder = fresh_path(spark, "stream")
 
@@ -43,7 +43,7 @@ def final_table(spark: SparkSession, counts: DataFrame) -> DataFrame:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.schema(counts.schema).parquet(f"{folder}/result")
+    return settled(spark.read.schema(counts.schema).parquet(f"{folder}/result"), folder)
 
 
 def item_support_of_files(spark: SparkSession, path: str, item: str) -> DataFrame:
