@@ -10,7 +10,7 @@ A language contains an n-gram if a sufficient share of its learned texts has it,
 compared with the language where that share is largest; with texts enough for it, one
 text alone does not put an n-gram in. Fitting uses about `texts_per_language` different
 texts of each language, taken by hash of id and text, of the `most_languages` most frequent
-languages, and of their n-grams the most frequent ones, `most_grams` in all: that is what
+languages, and of their n-grams the more frequent ones, `most_grams` in all: that is what
 the driver holds at most, and the filters come from it. Predicting covers all rows.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; a text
@@ -27,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coterie.llm.common import documents, held_out, sub_batches
+from coterie.llm.common import documents, held_out, shared_folder, sub_batches
 
 SIZES = (2, 3, 4)
 HASHES = 3
@@ -155,13 +155,18 @@ def fit(docs: DataFrame, texts_per_language: int = 3000, least_share: float = 0.
                 # texts of language k count under -1 - k: a null would make pandas round the hashes to floats
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(languages), dtype=np.int32)), pa.array(np.zeros(len(languages), np.int64)), pa.array(used.astype(np.int64))], ["k", "gram", "n"])
 
-    counted = sample.select("text", "lang").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    shared_folder(docs.sparkSession)
+    counted = sample.select("text", "lang").mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).checkpoint()
     need = 2 / least_share  # texts from which two are no more than the least share
-    twice = F.col("k").isin([i for i, name in enumerate(languages) if counts[name] >= need])
-    heard = counted.where((F.col("k") >= 0) & (F.col("n") >= F.when(twice, 2).otherwise(1)))
-    frequent = Window.partitionBy("k").orderBy(F.col("n").desc(), "gram")
-    heard = heard.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") <= max(1000, most_grams // len(languages))).drop("nth")
-    found = heard.unionByName(counted.where(F.col("k") < 0)).toPandas()
+    least = [2 if counts[name] >= need else 1 for name in languages]
+    room = max(1000, most_grams // len(languages))
+    # how many n-grams have each count: at most as many rows a language as texts were taken
+    levels = counted.where(F.col("k") >= 0).groupBy("k", "n").agg(F.count(F.lit(1)).alias("grams")).toPandas().sort_values("n", ascending=False)
+    for k, own in levels.groupby("k"):
+        over = own["n"][own["grams"].cumsum() > room]
+        least[k] = max(least[k], int(over.max()) + 1 if len(over) else 0)
+    enough = F.col("n") >= F.element_at(F.array(*map(F.lit, least)), F.col("k") + 1)
+    found = counted.where(F.when(F.col("k") < 0, F.lit(True)).otherwise(enough)).toPandas()
     used = found[found.k < 0].set_index("k")["n"].reindex(-1 - np.arange(len(languages)), fill_value=0).to_numpy()
     found = found[found.k >= 0]
     k, gram = found["k"].to_numpy(), found["gram"].to_numpy(np.int64)
