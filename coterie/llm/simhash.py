@@ -356,7 +356,7 @@ def within_buckets(keyed: DataFrame, orders: list[np.ndarray], words: int, radiu
 
 
 def grouped_links(groups: DataFrame, orders: list[np.ndarray], words: int, radius: int, rows: int, similarity: float = 0.0, width: int = 0) -> DataFrame:
-    """Links (a, b) that span every class within each group (t, key, x, y).
+    """Links (a, b) that span every class within each group (t, key, x, y); without labels b is one and the same for all of a class there.
 
     groups has the columns fp (binary, the fingerprint's name), t, key, x, y and, if that is
     not fp itself, print (binary, what is compared). orders: for each t the order in
@@ -377,6 +377,11 @@ def grouped_links(groups: DataFrame, orders: list[np.ndarray], words: int, radiu
             sets = Shingles([x for _, _, own, _ in members for x in own], width, similarity) if exact else None
             known = [x for _, _, _, own in members for x in own] if "label" in more else None
             a, b = links_within(prints, radius, orders[t], similar=sets.similar if exact else None, known=known)
+            if known is None and len(a):  # as stars: each member with the first of its class, which names the class
+                forest = Forest(len(prints))
+                forest.add(a, b)
+                a = np.flatnonzero(forest.label != np.arange(len(prints)))
+                b = forest.label[a]
             apart = [(names[i], names[j]) for i, j in zip(a.tolist(), b.tolist()) if names[i] != names[j]]
             if apart:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in apart], pa.binary()), pa.array([y for _, y in apart], pa.binary())], ["a", "b"])
@@ -471,22 +476,21 @@ def class_links(keyed: DataFrame, words: int, radius: int, similarity: float, wi
     members = keyed.join(large, "key").withColumn("parts", parts).drop("n")
     members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).checkpoint()
 
-    def labelled(links: DataFrame) -> DataFrame:
-        """Members with the class they are in so far."""
-        return members.join(components(links).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-
     def largest(rows: DataFrame, *by: str) -> DataFrame:
         """(by, label) of the class with most members."""
         sizes = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
         return sizes.groupBy(*by).agg(F.max_by("label", F.struct("n", "label")).alias("label"))
 
-    joined = labelled(found)
-    best = joined.join(largest(joined, "key", "own"), ["key", "own", "label"]).groupBy("key", "own", "label").agg(F.min("fp").alias("fp")).select("key", "fp")
+    # labels need only be sound: what has the same one is linked. The stars of the parts say enough for that.
+    centre = lambda links, name: links.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias(name))
+    own = members.join(centre(found, "own_centre"), "fp", "left").withColumn("label", F.coalesce("own_centre", "fp")).drop("own_centre").checkpoint()
+    # the texts that name the largest class of each part
+    best = largest(own, "key", "own").select("key", F.col("label").alias("fp")).distinct()
     heads = members.join(best, ["key", "fp"]).dropDuplicates(["key", "fp"]).select(*keyed.columns)
-    found = found.unionByName(within_buckets(heads, **how, bucket_rows=size)).checkpoint()
-    joined = labelled(found).checkpoint()
-    most = largest(joined, "key").withColumnRenamed("label", "most")
-    joined = joined.join(most, "key").withColumn("out", F.col("label") != F.col("most")).drop("most").checkpoint()
+    met = within_buckets(heads, **how, bucket_rows=size).checkpoint()
+    found = found.unionByName(met)
+    joined = own.join(centre(met, "head").withColumnRenamed("fp", "label"), "label", "left").withColumn("label", F.coalesce("head", "label")).drop("head")
+    joined = joined.join(largest(joined, "key").withColumnRenamed("label", "most"), "key").withColumn("out", F.col("label") != F.col("most")).drop("most").checkpoint()
     outside = joined.where("out").select(*keyed.columns, "label")
     if outside.isEmpty():
         return found
