@@ -106,8 +106,8 @@ def earliest(a, b, doc, th, pos, text, begins, size) -> tuple[np.ndarray, np.nda
         keep[order[new]] = True
         drop = (doc != doc[head]) | (th != th[head]) | (pos != pos[head])
         some = np.flatnonzero(drop)
-        for at in range(0, len(some), 1 << 14):
-            i = some[at : at + (1 << 14)]
+        for at in range(0, len(some), 1 << 12):
+            i = some[at : at + (1 << 12)]
             j = head[i]
             same = size[i] == size[j]
             i, j, unequal = i[same], j[same], i[~same]
