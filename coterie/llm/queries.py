@@ -8,7 +8,7 @@ from coterie.llm.mixing import ORACLE_OP2, op2_mixing
 from coterie.llm.quality import op7_quality_rules
 from coterie.llm.simhash import op8_simhash
 from coterie.llm.substrings import ORACLE_OP4, op4_substrings
-from coterie.llm.suffix_dedup import op1_suffix_dedup
+from coterie.llm.suffix_dedup import ORACLE_OP1, op1_suffix_dedup
 from coterie.llm.topk import ORACLE_OP10, op10_topk
 from coterie.llm.toxicity import op9_toxicity
 from coterie.llm.urls import ORACLE_OP3, op3_url_filter
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": ORACLE_OP1,
     "op2_mixing": ORACLE_OP2,
     "op3_url_filter": ORACLE_OP3,
     "op4_substrings": ORACLE_OP4,

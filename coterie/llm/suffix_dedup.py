@@ -250,3 +250,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every byte is a row, and every window a digest; doc_ids must be there once each.
+ORACLE_OP1 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * (i + {WINDOW}) <= length(h) THEN md5(substr(h, 2 * i + 1, {2 * WINDOW})) END AS s FROM p),
+hit AS (SELECT doc_id, i, b, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM w),
+gone AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS x FROM hit),
+runs AS (SELECT *, x AND NOT coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM gone),
+cut AS (SELECT doc_id, count(*)::BIGINT AS n_bytes, count(*) FILTER (x)::BIGINT AS n_removed, count(*) FILTER (first)::BIGINT AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT x), '') AS kept FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+"""
